@@ -1,4 +1,4 @@
-"""Running totals, ranks and exact quantiles over data too large for one task.
+"""Running totals and ranks over data too large for one task.
 
 A window without a partition, or with one hot partition key, sorts everything
 in a single task.  Here the order is cut into value ranges first: each range
@@ -110,45 +110,3 @@ def hash_rank(df: DataFrame, by: Sequence[str], key: str, tie: str, out: str = "
     """1-based rank within `by` in the order of an md5 text column, then `tie`."""
     ranged = df.withColumn(RANGE, hash_range(F.col(key)))
     return running(ranged, by, [key, tie], sums={out: F.lit(1).cast("bigint")}).drop(RANGE)
-
-
-def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict:
-    """Exact quantiles with linear interpolation, nulls left out.
-
-    Distinct values are counted (partial aggregation first), the counts are
-    accumulated range by range, and only the values standing at the wanted
-    ranks are kept.  Returns {column: [value per prob]}, None where no values.
-    """
-    src = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns])
-    cuts = cut_points(src, columns)
-    items = [f"_r{i}" for i in range(len(columns))]
-    for c, r in zip(columns, items):
-        src = with_range(src, c, cuts[c], r)
-    stacked = src.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("name"), F.col(f"`{c}`").alias("value"), F.col(r).alias(RANGE))
-        for c, r in zip(columns, items)
-    ])).alias("s")).select("s.*").where("value is not null")
-    freq = stacked.groupBy("name", RANGE, "value").agg(F.count("*").alias("n"))
-    cum = running(freq, ["name"], ["value"], sums={"upto": F.col("n")})
-    totals = freq.groupBy("name").agg(F.sum("n").alias("total"))
-    wanted = F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p")
-    ranks = totals.select("name", wanted, "total") \
-        .withColumn("at", F.col("p") * (F.col("total") - 1))
-    # Rank r (0-based) is held by the value with upto - n <= r < upto.
-    held = cum.join(F.broadcast(ranks), "name").where(
-        ((F.col("upto") - F.col("n") <= F.floor("at")) & (F.floor("at") < F.col("upto")))
-        | ((F.col("upto") - F.col("n") <= F.ceil("at")) & (F.ceil("at") < F.col("upto")))
-    )
-    # Two ranks per (name, p): the result has at most 2 * columns * probs values.
-    rows = held.groupBy("name", "p", "at").agg(
-        F.min("value").alias("lo"), F.max("value").alias("hi")).collect()
-    found = {(r["name"], r["p"]): r for r in rows}
-    out: dict[str, list] = {}
-    for c in columns:
-        values = []
-        for p in probs:
-            r = found.get((c, float(p)))
-            values.append(None if r is None
-                          else r["lo"] + (r["hi"] - r["lo"]) * (r["at"] - int(r["at"])))
-        out[c] = values
-    return out

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from keepwell import config as cfg
 from keepwell.functions.columns import BLANK_PATTERN, any_of, number
-from keepwell.functions.ordered import exact_quantiles
+from keepwell.functions.quantiles import exact_quantiles
 
 
 def clean_total_charges(df: DataFrame) -> DataFrame:

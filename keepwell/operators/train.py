@@ -50,6 +50,15 @@ def assemble(matrix: DataFrame, features: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol="features").transform(filled)
 
 
+def vectors(prep: Preprocessing, engineered: DataFrame) -> DataFrame:
+    """Scaled features and their vector, with the engineered row kept as `_row`.
+
+    Row by row, so scores stay with their record and need no join.
+    """
+    kept = engineered.withColumn("_row", F.struct("*"))
+    return assemble(prep.matrix(kept, keep=("_row",)), prep.features)
+
+
 def with_class_weight(df: DataFrame) -> DataFrame:
     """Adds weight n / (2 n_class) as literals of the class sizes."""
     sizes = {r["label"]: r["n"] for r in

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from keepwell import config as cfg
 from keepwell.functions.columns import any_of, number, strip
-from keepwell.functions.ordered import exact_quantiles
+from keepwell.functions.quantiles import exact_quantiles
 
 NUMERIC_KINDS = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
