@@ -11,6 +11,7 @@ from keepwell.operators.encode import Preprocessing
 from keepwell.operators.features import engineer
 from keepwell.operators.score import champion_class, with_scorecard
 from keepwell.operators.segment import Segmentation
+from keepwell.sources.scratch import materialize
 from keepwell.sources.subscribers import subscribers, subscribers_with_copies
 
 
@@ -37,8 +38,12 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scored rows with the segment of the fixed centroids."""
-    df = scored(spark, sf_dir)
+    """Scored rows with the segment of the fixed centroids.
+
+    Fitting the segments reads the scored rows twice and assigning them once
+    more, so they are written once; each later pass reads only its columns.
+    """
+    df = materialize(scored(spark, sf_dir), "scored")
     return Segmentation.from_centroids(df, cfg.FIXED_CENTROIDS).assign(df)
 
 
