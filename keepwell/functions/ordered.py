@@ -69,7 +69,11 @@ def running(
 
     `sums`  : name -> expression; running sum up to and including the row.
     `lasts` : name -> expression; latest non-null value up to and including the row.
-    `range_col` must not decrease along `order` (or not increase when descending).
+    `range_col` must not decrease along `order` (or not increase when descending);
+    `by` columns must not be null.
+
+    Rows are partitioned by (by, range) for the summary, the join and the
+    window alike, so a chain of these calls shuffles the rows once.
     """
     sums, lasts = sums or {}, lasts or {}
     direction = (lambda c: F.col(f"`{c}`").desc()) if descending else (lambda c: F.col(f"`{c}`"))
@@ -93,7 +97,7 @@ def running(
     )
     match = F.col(range_col) == F.col("_b_range")
     for b in by:
-        match = match & F.col(f"`{b}`").eqNullSafe(F.col(f"`_b_{b}`"))
+        match = match & (F.col(f"`{b}`") == F.col(f"`_b_{b}`"))
     inside = Window.partitionBy(*by, range_col).orderBy(*[direction(c) for c in order]) \
         .rowsBetween(Window.unboundedPreceding, 0)
     joined = src.join(offsets, match, "left")

@@ -13,6 +13,7 @@ from keepwell import config as cfg
 from keepwell.functions.columns import any_of, lookup, model_label, select_or_zero
 from keepwell.operators.clean import clean, fit_medians
 from keepwell.operators.features import engineer
+from keepwell.sources.scratch import materialize
 
 MAX_CATEGORIES = 10_000
 
@@ -96,14 +97,24 @@ class Preprocessing:
 
     @classmethod
     def fit(cls, raw: DataFrame, sequence: str | None = None) -> Preprocessing:
+        return cls.fit_engineered(raw, sequence)[0]
+
+    @classmethod
+    def fit_engineered(cls, raw: DataFrame, sequence: str | None = None) \
+            -> tuple[Preprocessing, DataFrame]:
+        """Fitted state and the engineered rows it was fitted on.
+
+        The engineered rows are written once: categories, scaling and whatever
+        the caller does with them read only the columns they need.
+        """
         state = cls(medians=fit_medians(raw, sequence))
-        engineered = state.engineered(raw, sequence)
+        engineered = materialize(state.engineered(raw, sequence), "engineered")
         state.categories = fit_categories(engineered)
         encoded = state.encoded(engineered)
         skip = {cfg.ID, cfg.TARGET, sequence}
         state.features = [c for c in encoded.columns if c not in skip]
         state.scaling = fit_scale(encoded, state.features)
-        return state
+        return state, engineered
 
     def engineered(self, raw: DataFrame, sequence: str | None = None) -> DataFrame:
         return engineer(clean(raw, self.medians, sequence))

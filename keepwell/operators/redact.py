@@ -11,17 +11,40 @@ from pyspark.sql import types as T
 from keepwell import config as cfg
 
 
+def _mask_field(text: Column, field: str) -> Column:
+    """Masks one field's value where the text names the field at all."""
+    quoted = rf"""('{field}'|"{field}")\s*:\s*('[^']*'|"[^"]*"|\d+\.?\d*)"""
+    masked = F.regexp_replace(
+        F.regexp_replace(text, quoted, f"$1: '{cfg.REDACTED}'"),
+        rf"{field}=[^\s,}}]+", f"{field}={cfg.REDACTED}")
+    return F.when(text.contains(field), masked).otherwise(text)
+
+
+def _longest_first(fields: Sequence[str]) -> list[str]:
+    return sorted(fields, key=lambda n: (-len(n), n))
+
+
 def redact_text(text: Column, fields: Sequence[str] = cfg.SENSITIVE_FIELDS) -> Column:
     """Masks 'field': value, "field": value and field=value, longest names first.
 
-    Lines that name no field at all skip the substitutions.
+    The one-element transform names the intermediate text, so that each step
+    computes it once.  For a column of a table, `redact_log` is faster.
+    """
+    for f in _longest_first(fields):
+        text = F.get(F.transform(F.array(text), lambda x, f=f: _mask_field(x, f)), F.lit(0))
+    return text
+
+
+def redact_log(lines: DataFrame, text: str = "msg",
+               fields: Sequence[str] = cfg.SENSITIVE_FIELDS) -> DataFrame:
+    """The same masking of a text column, one projection per field.
+
+    A plain substring test precedes the substitutions, so the cost of a line
+    follows the fields it names; all steps stay in generated code.
     """
-    masked = text
-    for f in sorted(fields, key=lambda n: (-len(n), n)):
-        quoted = rf"""('{f}'|"{f}")\s*:\s*('[^']*'|"[^"]*"|\d+\.?\d*)"""
-        masked = F.regexp_replace(masked, quoted, f"$1: '{cfg.REDACTED}'")
-        masked = F.regexp_replace(masked, rf"({f}=)([^\s,}}]+)", f"$1{cfg.REDACTED}")
-    return F.when(text.rlike("|".join(fields)), masked).otherwise(text)
+    for f in _longest_first(fields):
+        lines = lines.withColumn(text, _mask_field(F.col(text), f))
+    return lines
 
 
 def _redact(value: Column, kind: T.DataType, fields: Sequence[str]) -> Column:
@@ -48,7 +71,3 @@ def redact_record(df: DataFrame, fields: Sequence[str] = cfg.SENSITIVE_FIELDS) -
         (F.lit(cfg.REDACTED) if f.name in fields
          else _redact(F.col(f"`{f.name}`"), f.dataType, fields)).alias(f.name)
         for f in df.schema.fields])
-
-
-def redact_log(lines: DataFrame, text: str = "msg") -> DataFrame:
-    return lines.withColumn(text, redact_text(F.col(text)))

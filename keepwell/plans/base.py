@@ -48,9 +48,8 @@ def segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def preprocessed(spark: SparkSession, sf_dir: str) -> tuple[Preprocessing, DataFrame]:
-    df = raw(spark, sf_dir)
-    state = Preprocessing.fit(df)
-    return state, df
+    """Fitted preparation and the engineered rows."""
+    return Preprocessing.fit_engineered(raw(spark, sf_dir))
 
 
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -152,10 +152,8 @@ def training_run_log(spark, sf_dir):
 @query
 def roundtrip_model_state(spark, sf_dir):
     """Scores of preparation and model before and after saving both."""
-    raw = base.raw(spark, sf_dir)
-    prep = Preprocessing.fit(raw)
-    data = train.with_class_weight(train.vectors(prep, prep.engineered(raw)).where(
-        "label is not null"))
+    prep, engineered = base.preprocessed(spark, sf_dir)
+    data = train.with_class_weight(train.vectors(prep, engineered).where("label is not null"))
     total = float(data.agg(F.sum("weight")).first()[0])
     model = train.logistic(total).fit(data.select("label", "weight", "features"))
     prep_path = scratch.scratch_path(spark, "prep")
@@ -164,8 +162,8 @@ def roundtrip_model_state(spark, sf_dir):
     model.write().overwrite().save(model_path)
     again = Preprocessing.load(spark, prep_path)
     reloaded = type(model).load(model_path)
-    first = score.with_model(train.vectors(prep, prep.engineered(raw)), model)
-    second = score.with_model(train.vectors(again, again.engineered(raw)), reloaded)
+    first = score.with_model(train.vectors(prep, engineered), model)
+    second = score.with_model(train.vectors(again, engineered), reloaded)
     both = first.select(cfg.ID, F.col("churn_probability").alias("p1")).join(
         second.select(cfg.ID, F.col("churn_probability").alias("p2")), cfg.ID)
     return both.agg(F.count(F.lit(1)).alias("n_rows"),
@@ -358,8 +356,8 @@ def scale_features(spark, sf_dir):
 
 @query
 def model_matrix(spark, sf_dir):
-    state, raw = base.preprocessed(spark, sf_dir)
-    return rounded(state.transform(raw))
+    state, engineered = base.preprocessed(spark, sf_dir)
+    return rounded(state.matrix(engineered))
 
 
 # ---- split, resample, tune, train --------------------------------------------
@@ -387,8 +385,8 @@ def background_sample(spark, sf_dir):
 
 
 def _minority(spark, sf_dir):
-    state, raw = base.preprocessed(spark, sf_dir)
-    return state.transform(raw).where("label = 1"), state.features
+    state, engineered = base.preprocessed(spark, sf_dir)
+    return state.matrix(engineered).where("label = 1"), state.features
 
 
 @query
@@ -400,8 +398,8 @@ def smote_knn(spark, sf_dir):
 @query
 def smote_balance(spark, sf_dir):
     """Class sizes after balancing, and how many new rows leave their segment."""
-    state, raw = base.preprocessed(spark, sf_dir)
-    matrix = state.transform(raw).where("label is not null")
+    state, engineered = base.preprocessed(spark, sf_dir)
+    matrix = state.matrix(engineered).where("label is not null")
     balanced = scratch.materialize(smote.balance(matrix, state.features), "balanced")
     cols = [F.col(f"`{c}`") for c in state.features]
     parents = matrix.select(F.col(cfg.ID).alias("parent"), F.array(*cols).alias("x"))
@@ -485,9 +483,8 @@ def permutation_importance(spark, sf_dir):
 
 
 def _fitted_gbt(spark, sf_dir):
-    raw = base.raw(spark, sf_dir)
-    prep = Preprocessing.fit(raw)
-    vectors = train.vectors(prep, prep.engineered(raw))
+    prep, engineered = base.preprocessed(spark, sf_dir)
+    vectors = train.vectors(prep, engineered)
     labelled = train.with_class_weight(vectors.where("label is not null"))
     return train.gbt(trees=10).fit(labelled.select("label", "weight", "features")), prep, vectors
 

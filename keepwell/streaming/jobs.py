@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from keepwell import config as cfg
 from keepwell.operators.clean import clean
 from keepwell.operators.features import engineer
-from keepwell.operators.redact import redact_text
+from keepwell.operators.redact import redact_log
 from keepwell.operators.score import predict_batch
 from keepwell.sources.events import log_lines
 from keepwell.sources.subscribers import RECORD_SCHEMA
@@ -60,9 +60,7 @@ def score_stream(records: DataFrame, medians: dict[str, float], out: str, checkp
 
 def redact_stream(events: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Log lines with sensitive values masked; stateless, written as they come."""
-    lines = log_lines(events)
-    masked = lines.withColumn("msg", redact_text(F.col("msg")))
-    return masked.writeStream.outputMode("append").format("parquet") \
+    return redact_log(log_lines(events)).writeStream.outputMode("append").format("parquet") \
         .option("path", out).option("checkpointLocation", checkpoint) \
         .trigger(availableNow=True).start()
 
