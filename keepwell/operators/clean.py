@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from keepwell import config as cfg
 from keepwell.functions.columns import BLANK_PATTERN, any_of, number
 from keepwell.functions.quantiles import exact_quantiles
+from keepwell.sources.scratch import materialize
 
 
 def clean_total_charges(df: DataFrame) -> DataFrame:
@@ -57,15 +58,28 @@ def prepare(df: DataFrame, sequence: str | None = None) -> DataFrame:
     return keep_first(fill_senior(coerce_numeric(clean_total_charges(df))), sequence=sequence)
 
 
+def medians_of(prepared: DataFrame) -> dict[str, float]:
+    """Exact median of each number column of prepared rows."""
+    columns = any_of(cfg.NUMERIC_COLUMNS, prepared.columns)
+    return {c: v[0] for c, v in exact_quantiles(prepared, columns, [0.5]).items()}
+
+
 def fit_medians(df: DataFrame, sequence: str | None = None) -> dict[str, float]:
-    """Exact median of each number column over prepared rows.
+    """Medians from raw rows.
 
-    Only the key and the number columns are read and shuffled.
+    Only the key and the number columns are read and shuffled; the prepared
+    numbers are written once, the rounds of the quantile search read them.
     """
     columns = any_of(cfg.NUMERIC_COLUMNS, df.columns)
     need = any_of([cfg.ID, *([sequence] if sequence else []), *columns], df.columns)
-    prepared = prepare(df.select(*need), sequence)
-    return {c: v[0] for c, v in exact_quantiles(prepared, columns, [0.5]).items()}
+    return medians_of(materialize(prepare(df.select(*need), sequence).select(*columns), "numbers"))
+
+
+def fit_clean(df: DataFrame, sequence: str | None = None) -> tuple[dict[str, float], DataFrame]:
+    """Fitted medians and the cleaned rows; preparation runs once and is written."""
+    prepared = materialize(prepare(df, sequence), "prepared")
+    medians = medians_of(prepared)
+    return medians, impute(prepared, medians)
 
 
 def impute(df: DataFrame, medians: dict[str, float]) -> DataFrame:

@@ -11,9 +11,8 @@ from pyspark.sql import functions as F
 
 from keepwell import config as cfg
 from keepwell.functions.columns import any_of, lookup, model_label, select_or_zero
-from keepwell.operators.clean import clean, fit_medians
+from keepwell.operators.clean import clean, fit_clean
 from keepwell.operators.features import engineer
-from keepwell.sources.scratch import materialize
 
 MAX_CATEGORIES = 10_000
 
@@ -104,11 +103,12 @@ class Preprocessing:
             -> tuple[Preprocessing, DataFrame]:
         """Fitted state and the engineered rows it was fitted on.
 
-        The engineered rows are written once: categories, scaling and whatever
-        the caller does with them read only the columns they need.
+        Deduplicated rows are written once; medians, categories, scaling and
+        whatever the caller does next read only the columns they need.
         """
-        state = cls(medians=fit_medians(raw, sequence))
-        engineered = materialize(state.engineered(raw, sequence), "engineered")
+        medians, cleaned = fit_clean(raw, sequence)
+        state = cls(medians=medians)
+        engineered = engineer(cleaned)
         state.categories = fit_categories(engineered)
         encoded = state.encoded(engineered)
         skip = {cfg.ID, cfg.TARGET, sequence}

@@ -15,6 +15,7 @@ from keepwell.config import Scorecard
 from keepwell.functions.ordered import RANGE, cut_points, hash_rank, running, with_range
 from keepwell.operators.sampling import seeded_hash
 from keepwell.operators.score import champion_class, logistic, margin
+from keepwell.sources.scratch import materialize
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -148,8 +149,8 @@ def permutation_importance(engineered: DataFrame, card: Scorecard = cfg.CHAMPION
     sides, so no key is hot.  A linear model only needs the changed term.
     """
     features = list(card.weights)
-    rows = engineered.where(F.col("label").isNotNull()).select(
-        key, "label", margin(card).alias("_margin"), *features)
+    rows = materialize(engineered.where(F.col("label").isNotNull()).select(
+        key, "label", margin(card).alias("_margin"), *features), "permutation-rows")
     base = hash_rank(rows.withColumn("_hash", seeded_hash(key)), [], "_hash", key, out="_rank")
     targets = base.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats)))) \
         .select("repeat", "_rank", "label", "_margin", *features)

@@ -30,8 +30,11 @@ def redact_text(text: Column, fields: Sequence[str] = cfg.SENSITIVE_FIELDS) -> C
     The one-element transform names the intermediate text, so that each step
     computes it once.  For a column of a table, `redact_log` is faster.
     """
+    def named(value: Column, field: str) -> Column:
+        return F.get(F.transform(F.array(value), lambda x: _mask_field(x, field)), F.lit(0))
+
     for f in _longest_first(fields):
-        text = F.get(F.transform(F.array(text), lambda x, f=f: _mask_field(x, f)), F.lit(0))
+        text = named(text, f)
     return text
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from keepwell import config as cfg
 from keepwell.functions.columns import any_of, number, strip
 from keepwell.functions.quantiles import exact_quantiles
+from keepwell.sources.scratch import materialize
 
 NUMERIC_KINDS = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
@@ -134,10 +135,11 @@ def iqr_outliers(df: DataFrame) -> DataFrame:
     """Bounds q1 - 1.5 IQR and q3 + 1.5 IQR per column and the rows strictly outside.
 
     The quartiles are exact and come back as two numbers per column; the count
-    is one aggregation over the table with the bounds as literals.
+    is one aggregation over the table with the bounds as literals.  The parsed
+    numbers are written once for these passes.
     """
     have = any_of(cfg.OUTLIER_COLUMNS, df.columns)
-    numbers = df.select(*[number(df, c).alias(c) for c in have])
+    numbers = materialize(df.select(*[number(df, c).alias(c) for c in have]), "numbers")
     quartiles = exact_quantiles(numbers, have, [0.25, 0.75])
     bounds = {}
     for c in have:
@@ -178,7 +180,7 @@ def require_valid(df: DataFrame) -> None:
 def describe_numeric(df: DataFrame) -> DataFrame:
     """count, mean, sample deviation, min, quartiles, max of each number column."""
     have = any_of(cfg.NUMERIC_COLUMNS, df.columns)
-    numbers = df.select(*[number(df, c).alias(c) for c in have])
+    numbers = materialize(df.select(*[number(df, c).alias(c) for c in have]), "numbers")
     quartiles = exact_quantiles(numbers, have, [0.25, 0.5, 0.75])
     aggs = []
     for c in have:

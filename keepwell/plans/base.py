@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from keepwell import config as cfg
-from keepwell.functions.columns import model_label
-from keepwell.operators.clean import clean, fit_medians
+from keepwell.functions.columns import micro, model_label
+from keepwell.operators.clean import fit_clean
 from keepwell.operators.encode import Preprocessing
 from keepwell.operators.features import engineer
 from keepwell.operators.score import champion_class, with_scorecard
@@ -24,8 +25,7 @@ def raw_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = raw(spark, sf_dir)
-    return clean(df, fit_medians(df))
+    return fit_clean(raw(spark, sf_dir))[1]
 
 
 def engineered(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,11 +53,13 @@ def preprocessed(spark: SparkSession, sf_dir: str) -> tuple[Preprocessing, DataF
 
 
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """label, prediction and score of the champion scorecard on all labelled rows."""
-    from pyspark.sql import functions as F
+    """label, prediction and score of the champion scorecard on all labelled rows.
 
-    from keepwell.functions.columns import micro
+    Curves and rank statistics read these few columns more than once, so they
+    are written.
+    """
     df = scored(spark, sf_dir)
-    return df.withColumn("label", model_label(df)).where("label is not null").select(
-        cfg.ID, "label", champion_class(F.col("churn_probability")).alias("prediction"),
-        micro(F.col("churn_probability")).alias("score"))
+    return materialize(
+        df.withColumn("label", model_label(df)).where("label is not null").select(
+            cfg.ID, "label", champion_class(F.col("churn_probability")).alias("prediction"),
+            micro(F.col("churn_probability")).alias("score")), "judged")

@@ -81,12 +81,12 @@ def roundtrip_assignments(spark, sf_dir):
 def _comparison(spark, sf_dir):
     df = base.engineered(spark, sf_dir)
     df = df.withColumn("label", model_label(df)).where("label is not null")
-    both = df.select("label", F.explode(F.array(*[
+    both = scratch.materialize(df.select("label", F.explode(F.array(*[
         F.struct(F.lit(card.name).alias("model"), score.probability(card).alias("p"))
-        for card in (cfg.CHAMPION, cfg.CHALLENGER)])).alias("m"))
-    return evaluate.model_comparison(both.select(
+        for card in (cfg.CHAMPION, cfg.CHALLENGER)])).alias("m")).select(
         "m.model", "label", score.champion_class(F.col("m.p")).alias("prediction"),
-        micro(F.col("m.p")).alias("score")))
+        micro(F.col("m.p")).alias("score")), "judged")
+    return evaluate.model_comparison(both)
 
 
 @query
@@ -295,19 +295,21 @@ def clean_subscribers(spark, sf_dir):
 # ---- features ----------------------------------------------------------------
 
 
-def _feature_query(name, columns):
-    """Only the named features: Catalyst drops the others."""
+def _feature_query(name, columns, numbers=True):
+    """Only the named features; without `numbers` they need no fitted medians."""
     def run(spark, sf_dir):
-        return rounded(base.engineered(spark, sf_dir).select(cfg.ID, *columns))
+        rows = base.engineered(spark, sf_dir) if numbers \
+            else features.engineer(clean.prepare(base.raw(spark, sf_dir)))
+        return rounded(rows.select(cfg.ID, *columns))
     run.__name__ = name
     return query(run)
 
 
 _feature_query("tenure_groups", ["tenure", "tenure_group"])
-_feature_query("service_counts", ["service_count"])
-_feature_query("engagement_scores", ["engagement_score"])
-_feature_query("payment_risk", ["payment_risk_score"])
-_feature_query("contract_risk", ["Contract", "contract_risk"])
+_feature_query("service_counts", ["service_count"], numbers=False)
+_feature_query("engagement_scores", ["engagement_score"], numbers=False)
+_feature_query("payment_risk", ["payment_risk_score"], numbers=False)
+_feature_query("contract_risk", ["Contract", "contract_risk"], numbers=False)
 _feature_query("revenue_features",
                ["customer_lifetime_revenue", "avg_monthly_value", "revenue_risk"])
 _feature_query("clv_estimates", ["clv_estimate"])
