@@ -10,6 +10,7 @@ result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -51,6 +52,29 @@ def with_range(df: DataFrame, column: str, cuts: Sequence[float], out: str = RAN
     return bucketed.withColumn(out, F.col(out).cast("int")).drop(tmp)
 
 
+def with_tied_range(df: DataFrame, column: str, tie: str, out: str = RANGE) -> DataFrame:
+    """Range number over (column, tie), both numeric.
+
+    A value of `column` that many rows share gets ranges of its own, cut along
+    `tie`; without such values this is `with_range`.
+    """
+    n = range_count(df)
+    probs = [i / n for i in range(1, n)]
+    found = df.agg(F.percentile_approx(
+        F.col(column).cast("double"), probs, max(1000, 10 * n))).first()[0] or []
+    values = sorted(float(v) for v in found)
+    hot = sorted({a for a, b in zip(values, values[1:]) if a == b})
+    cuts = sorted({*values, *[math.nextafter(v, math.inf) for v in hot]})
+    ranged = with_range(df, column, cuts, out)
+    if not hot:
+        return ranged
+    shared = F.col(column).cast("double").isin(hot)
+    inner = with_range(ranged, tie, cut_points(ranged.where(shared), [tie])[tie], "_inner")
+    width = range_count(df) + 1
+    return inner.withColumn(out, F.col(out).cast("bigint") * width + F.when(
+        shared, F.col("_inner")).otherwise(0)).drop("_inner")
+
+
 def hash_range(key: Column, digits: int = 3) -> Column:
     """Range number of an md5 text: its leading hex digits, even by construction."""
     return F.substring(key, 1, digits)

@@ -3,8 +3,8 @@
 A model line has two candidates.  Every event acts on "who is champion" in one
 of three ways: it leaves it, it swaps it, or it sets it whatever it was.  So
 the champion after an event is the value last set, swapped as often as swaps
-came after it.  Both parts are running values, which makes the replay a
-parallel scan instead of a walk through each line's history.
+came after it, which makes the replay a parallel scan instead of a walk
+through each line's history.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keepwell import config as cfg
-from keepwell.functions.ordered import RANGE, running
+from keepwell.functions.ordered import RANGE
 
 FIRST, SECOND = "logistic_regression", "gbt"
 HISTORY = ["line", "seq", "action", "previous_champion", "new_champion", "champion_metric",
@@ -41,31 +41,60 @@ def replay(runs: DataFrame, settings: DataFrame | None = None) -> DataFrame:
     `runs`: line, seq, kind (train / rollback), lr_auc, lr_recall, gbt_auc,
     gbt_recall, and RANGE, a value range that follows `seq`.  A rollback before
     the first training changes nothing and is reported as 'rejected'.
+
+    Rows are shuffled once, by (line, range).  Inside a range the state is
+    known up to what it is entered with; one summary row per range carries
+    that over from range to range.
     """
     src = threshold_per_line(runs, settings)
     is_train = F.col("kind") == "train"
-    counted = running(src, ["line"], ["seq"], sums={"trains": is_train.cast("int")})
+    inside = Window.partitionBy("line", RANGE).orderBy("seq")
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    ranges = Window.partitionBy("_line").orderBy("_range_no")
+    earlier = ranges.rowsBetween(Window.unboundedPreceding, -1)
+    same = (F.col("line") == F.col("_line")) & (F.col(RANGE) == F.col("_range_no"))
+
+    def summary(df: DataFrame, *aggs: Column) -> DataFrame:
+        return df.groupBy(F.col("line").alias("_line"), F.col(RANGE).alias("_range_no")).agg(*aggs)
+
+    before = summary(runs, F.count_if(is_train).alias("_n")).select(
+        "_line", "_range_no",
+        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_trains_before"))
+    counted = src.join(before, same, "left").drop("_line", "_range_no").withColumn(
+        "_trains", F.col("_trains_before") + F.sum(is_train.cast("int")).over(upto))
 
     # Champion as a bit: 0 the first candidate, 1 the second.
     to_second = _passes(F.col("gbt_auc"), F.col("lr_auc"), F.col("gbt_recall"), F.col("threshold"))
     to_first = _passes(F.col("lr_auc"), F.col("gbt_auc"), F.col("lr_recall"), F.col("threshold"))
-    initial = is_train & (F.col("trains") == 1)
+    initial = is_train & (F.col("_trains") == 1)
     sets = F.when(initial, F.when(F.col("lr_auc") >= F.col("gbt_auc"), 0).otherwise(1)) \
         .when(is_train & to_second & ~to_first, 1) \
         .when(is_train & to_first & ~to_second, 0)
     both = is_train & ~initial & to_first & to_second  # only with a threshold of 0 or less
-    swapped = running(counted.withColumn("_sets", sets), ["line"], ["seq"], sums={
-        "swaps": ((~is_train) | both).cast("int")})
-
-    parity = F.col("swaps") % 2
-    metrics = F.when(is_train, F.struct("lr_auc", "gbt_auc"))
-    state = running(
-        swapped, ["line"], ["seq"],
-        lasts={"_base": F.col("_sets").bitwiseXOR(parity.cast("int")), "_latest": metrics})
-    after = F.col("_base").bitwiseXOR(parity.cast("int"))
-    previous = _previous(state.withColumn("_after", after))
+    local = counted.withColumn("_sets", sets) \
+        .withColumn("_swaps", F.sum(((~is_train) | both).cast("int")).over(upto)) \
+        .withColumn("_base", F.last(_flip(F.col("_sets"), F.col("_swaps")), True).over(upto)) \
+        .withColumn("_metrics", F.last(
+            F.when(is_train, F.struct("lr_auc", "gbt_auc")), True).over(upto))
+
+    ends = summary(
+        local, F.max("_swaps").alias("_n"), F.max_by("_base", "seq").alias("_end_base"),
+        F.max_by("_metrics", "seq").alias("_end_metrics"))
+    so_far = F.sum("_n").over(ranges.rowsBetween(Window.unboundedPreceding, 0))
+    ends = ends.withColumn("_upto", so_far) \
+        .withColumn("_set", _flip(F.col("_end_base"), F.col("_upto") - F.col("_n")))
+    enter = ends.select(
+        "_line", "_range_no",
+        _flip(F.last("_set", True).over(earlier), F.col("_upto") - F.col("_n")).alias("_enter"),
+        F.last("_end_metrics", True).over(earlier).alias("_enter_metrics"))
+    state = local.join(enter, same, "left") \
+        .withColumn("_after", _flip(F.coalesce("_base", "_enter"), F.col("_swaps"))) \
+        .withColumn("_latest", F.coalesce("_metrics", "_enter_metrics"))
+    whole = state.withColumn("_before", F.when(
+        F.row_number().over(inside) == 1, F.col("_enter")).otherwise(F.lag("_after").over(inside)))
+
     lr, gbt = F.col("_latest.lr_auc"), F.col("_latest.gbt_auc")
-    started = F.col("trains") > 0
+    started = F.col("_trains") > 0
     was, now = F.col("_before"), F.col("_after")
     # A training compares the champion it found with its challenger; the first
     # one, and a rollback, report the roles they leave.
@@ -78,7 +107,7 @@ def replay(runs: DataFrame, settings: DataFrame | None = None) -> DataFrame:
     def name(bit: Column) -> Column:
         return F.when(bit == 0, FIRST).when(bit == 1, SECOND)
 
-    return previous.select(
+    return whole.select(
         "line", "seq", action.alias("action"),
         name(F.when(~initial, was)).alias("previous_champion"), name(now).alias("new_champion"),
         F.when(started, champion_metric).alias("champion_metric"),
@@ -86,21 +115,9 @@ def replay(runs: DataFrame, settings: DataFrame | None = None) -> DataFrame:
         F.when(started, challenger_metric - champion_metric).alias("delta"), RANGE)
 
 
-def _previous(df: DataFrame) -> DataFrame:
-    """Adds _before, the champion bit of the preceding event of the line.
-
-    Inside a value range it is the row before; the first row of a range takes
-    the last row of the nearest earlier range.
-    """
-    ends = df.groupBy("line", RANGE).agg(F.max_by("_after", "seq").alias("_end"))
-    earlier = Window.partitionBy("line").orderBy(RANGE)
-    ends = ends.select(F.col("line").alias("_l"), F.col(RANGE).alias("_r"),
-                       F.lag("_end").over(earlier).alias("_enter"))
-    inside = Window.partitionBy("line", RANGE).orderBy("seq")
-    return df.join(ends, (F.col("line") == F.col("_l")) & (F.col(RANGE) == F.col("_r")), "left") \
-        .withColumn("_first", F.row_number().over(inside) == 1) \
-        .withColumn("_before", F.when(F.col("_first"), F.col("_enter"))
-                    .otherwise(F.lag("_after").over(inside)))
+def _flip(bit: Column, times: Column) -> Column:
+    """The bit after that many swaps."""
+    return bit.bitwiseXOR((times % 2).cast("int"))
 
 
 def promotion_decisions(runs: DataFrame, settings: DataFrame | None = None) -> DataFrame:

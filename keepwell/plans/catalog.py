@@ -614,6 +614,11 @@ def assign_segments(spark, sf_dir):
 # ---- decisions ---------------------------------------------------------------
 
 
+def _runs(spark, sf_dir):
+    """The numbered run log, written as the table it would be."""
+    return scratch.materialize(events.training_runs(spark, sf_dir), "runs")
+
+
 def _settings(runs):
     """Stored thresholds, one per line, from the line's first event on."""
     return runs.where("seq = 1").select(
@@ -622,24 +627,24 @@ def _settings(runs):
 
 @query
 def promotion_decisions(spark, sf_dir):
-    runs = events.training_runs(spark, sf_dir)
+    runs = _runs(spark, sf_dir)
     return rounded(registry.promotion_decisions(runs, _settings(runs)))
 
 
 @query
 def promotion_replay(spark, sf_dir):
-    return rounded(registry.replay(events.training_runs(spark, sf_dir)).select(*registry.HISTORY))
+    return rounded(registry.replay(_runs(spark, sf_dir)).select(*registry.HISTORY))
 
 
 @query
 def current_roles(spark, sf_dir):
-    return registry.current_roles(registry.replay(events.training_runs(spark, sf_dir)))
+    return registry.current_roles(registry.replay(_runs(spark, sf_dir)))
 
 
 @query
 def recent_promotions(spark, sf_dir):
     return rounded(registry.recent_promotions(
-        registry.replay(events.training_runs(spark, sf_dir))))
+        registry.replay(_runs(spark, sf_dir))))
 
 
 # ---- explanations ------------------------------------------------------------

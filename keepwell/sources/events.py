@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepwell.functions.ordered import RANGE, cut_points, running, with_range
+from keepwell.functions.ordered import running, with_tied_range
 from keepwell.sources.subscribers import table
 
 MODEL_LINES = 20
@@ -14,7 +14,7 @@ MODEL_LINES = 20
 def training_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per training or rollback event of a model line, numbered in time order.
 
-    `moment` is the event time as microseconds; `RANGE` its value range, kept
+    `moment` is the event time as microseconds; its value range (RANGE) is kept,
     so that later scans along a line can work range by range as well.
     """
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id")
@@ -27,9 +27,7 @@ def training_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit(0.80) + (F.col("event_id") * 11 % 43) / F.lit(1000.0)).alias("gbt_auc"),
         (F.lit(0.60) + (F.col("event_id") * 17 % 29) / F.lit(100.0)).alias("gbt_recall"),
     )
-    cuts = cut_points(runs, ["moment"])["moment"]
-    ranged = with_range(runs, "moment", cuts, RANGE)
-    return running(ranged, ["line"], ["moment", "event_id"],
+    return running(with_tied_range(runs, "moment", "event_id"), ["line"], ["moment", "event_id"],
                    sums={"seq": F.lit(1).cast("bigint")})
 
 

@@ -5,7 +5,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from keepwell.functions.ordered import RANGE, cut_points, hash_rank, running, with_range
+from keepwell.functions.ordered import (
+    RANGE, cut_points, hash_rank, running, with_range, with_tied_range)
 from keepwell.functions.quantiles import exact_quantiles
 from keepwell.functions.skew import hot_key_join
 
@@ -52,6 +53,16 @@ def test_running_values_match_pandas(spark, descending):
     assert ranged.select(RANGE).distinct().count() > 4
 
 
+def test_ranges_split_a_value_that_many_rows_share(spark):
+    df = spark.range(20_000).select(
+        "id", F.when(F.col("id") % 3 == 0, 500.0).otherwise(F.col("id") % 1000 * 1.0).alias("x"))
+    ranged = with_tied_range(df, "x", "id")
+    sizes = ranged.groupBy(RANGE).count().toPandas()["count"]
+    assert sizes.max() < 20_000 / 10
+    got = running(ranged, [], ["x", "id"], sums={"n": F.lit(1)}).orderBy("x", "id").toPandas()
+    assert got["n"].tolist() == list(range(1, 20_001))
+
+
 def test_hash_rank_numbers_every_row_once(spark):
     df = spark.range(3000).withColumn("g", F.col("id") % 2) \
         .withColumn("h", F.md5(F.col("id").cast("string")))
