@@ -152,25 +152,27 @@ def tree_values(x: np.ndarray, leaves: list[Leaf], width: int) -> np.ndarray:
 
 
 def tree_contributions(matrix: DataFrame, model, features: Sequence[str],
-                       vector: str = "features", key: str = cfg.ID) -> DataFrame:
-    """(key, contributions, base_value, margin) per row; contributions + base = margin."""
+                       vector: str = "features", keep: Sequence[str] = (cfg.ID,)) -> DataFrame:
+    """Kept columns, contributions, base_value and margin per row; contributions
+    and base value add up to the margin.
+    """
     leaves = read_leaves(model)
-    names = list(features)
-    kind = dict(matrix.dtypes)[key]
+    names, keep = list(features), list(keep)
+    kinds = dict(matrix.dtypes)
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
                 values = tree_values(np.array(pdf["x"].tolist()), leaves, len(names))
-                yield pd.DataFrame({key: pdf[key], "margin": pdf["margin"],
-                                    "values": list(values[:, :-1]), "base_value": values[:, -1]})
+                yield pdf[[*keep, "margin"]].assign(
+                    values=list(values[:, :-1]), base_value=values[:, -1])
 
-    scored = model.transform(matrix).select(
-        key, vector_to_array(vector).alias("x"),
+    scored = model.transform(matrix.select(*keep, vector)).select(
+        *keep, vector_to_array(vector).alias("x"),
         (vector_to_array("rawPrediction")[1]).alias("margin"))
-    raw = scored.mapInPandas(
-        explain, f"{key} {kind}, margin double, values array<double>, base_value double")
+    raw = scored.mapInPandas(explain, ", ".join(f"`{c}` {kinds[c]}" for c in keep)
+                             + ", margin double, values array<double>, base_value double")
     labels = F.array(*[F.lit(n) for n in names])
-    return raw.select(key, "margin", "base_value", F.zip_with(
+    return raw.select(*keep, "margin", "base_value", F.zip_with(
         labels, "values", lambda n, v: F.struct(n.alias("feature"), v.alias("shap_value")))
         .alias(CONTRIBUTIONS))

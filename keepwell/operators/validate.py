@@ -197,6 +197,20 @@ def describe_numeric(df: DataFrame) -> DataFrame:
         for c in have])).alias("r")).select("r.*")
 
 
+def describe_text(df: DataFrame) -> DataFrame:
+    """count, distinct values, most frequent value and its count of each text column.
+
+    Equal counts: the lowest value is named.
+    """
+    texts = [c for c, t in df.dtypes if t == "string"]
+    counted = _long(df, texts).where("value is not null").groupBy("name", "value") \
+        .agg(F.count(F.lit(1)).alias("n"))
+    return counted.groupBy(F.col("name").alias("column_name")).agg(
+        F.sum("n").alias("n"), F.count(F.lit(1)).alias("unique_count"),
+        F.min_by("value", F.struct((-F.col("n")).alias("n"), "value")).alias("top"),
+        F.max("n").alias("freq"))
+
+
 def contract_violations(df: DataFrame) -> DataFrame:
     """Each record with the names of the request rules it breaks (empty: accepted)."""
     required = [c for c in cfg.RAW_COLUMNS if c not in (cfg.ID, cfg.TARGET)]

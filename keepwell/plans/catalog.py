@@ -253,6 +253,11 @@ def describe_numeric(spark, sf_dir):
     return rounded(validate.describe_numeric(base.raw(spark, sf_dir)))
 
 
+@query
+def describe_text(spark, sf_dir):
+    return validate.describe_text(base.raw(spark, sf_dir))
+
+
 @query
 def contract_violations(spark, sf_dir):
     return validate.contract_violations(base.raw(spark, sf_dir)).select(
@@ -785,7 +790,8 @@ def stream_score(spark, sf_dir):
     medians = clean.fit_medians(base.raw(spark, sf_dir))
     out, progress = (scratch.scratch_path(spark, n) for n in ("scored", "score-progress"))
     records = streaming.read_records(spark, _landed(spark, sf_dir), files_per_batch=2)
-    streaming.score_stream(records, medians, out, progress).awaitTermination()
+    streaming.score_stream(
+        records, streaming.scorecard_predictor(medians), out, progress).awaitTermination()
     got = streaming.read_batches(spark, out)
     return rounded(got.select(
         *[c for c in got.columns if c != "challenger_prediction"],

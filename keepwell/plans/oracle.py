@@ -444,6 +444,10 @@ def oracle_sql() -> dict[str, str]:
     sql["critical_issues"] = _with(SUBSCRIBERS, f"""SELECT 'Duplicate customer IDs detected' AS issue FROM copies HAVING count(*) > count(DISTINCT customerID)
       UNION ALL SELECT 'Missing values in ' || column_name || ': ' || missing FROM ({_missing('copies')}) WHERE missing > 0 AND column_name <> 'TotalCharges'""")
     sql["describe_numeric"] = _with(_NUMBERS, _DESCRIBE)
+    texts = [c for c in cfg.RAW_COLUMNS if c not in ("SeniorCitizen", "tenure", "MonthlyCharges")]
+    sql["describe_text"] = _with(SUBSCRIBERS, " UNION ALL ".join(
+        f"""SELECT * FROM (SELECT '{c}' AS column_name, CAST(sum(k) OVER () AS BIGINT) AS n, count(*) OVER () AS unique_count, v AS top, k AS freq
+          FROM (SELECT {c} AS v, count(*) AS k FROM raw WHERE {c} IS NOT NULL GROUP BY {c}) ORDER BY k DESC, v LIMIT 1)""" for c in texts))
     sql["contract_violations"] = _with(SUBSCRIBERS, f"SELECT customerID, violations, CAST(violations = '' AS INT) AS accepted FROM (SELECT customerID, concat_ws('; ', {', '.join(_RULES)}) AS violations FROM raw)")
     # cleaning
     sql["clean_total_charges"] = _with(SUBSCRIBERS, f"SELECT customerID, {m(parsed('TotalCharges'), 'TotalCharges')} FROM raw")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,13 +46,14 @@ def evaluation_tables(model, name: str, test: DataFrame, features: list[str],
     }
 
 
-def contributions(model, vectors: DataFrame, features: list[str]) -> DataFrame:
-    """Per-row contributions of whichever candidate is champion."""
+def contributions(model, vectors: DataFrame, features: list[str], means: dict[str, float],
+                  keep: Sequence[str] = (cfg.ID,)) -> DataFrame:
+    """Kept columns and per-row contributions of whichever candidate it is."""
     if hasattr(model, "trees"):
-        return tree_contributions(vectors, model, features)
+        return tree_contributions(vectors, model, features, keep=keep) \
+            .select(*keep, CONTRIBUTIONS)
     weights = dict(zip(features, (float(w) for w in model.coefficients.toArray())))
-    return linear_contributions(vectors, weights, background_means(vectors, features)) \
-        .select(cfg.ID, CONTRIBUTIONS)
+    return linear_contributions(vectors, weights, means).select(*keep, CONTRIBUTIONS)
 
 
 def read_metadata(store: RunStore, run_id: str) -> DataFrame:
@@ -66,7 +68,8 @@ def checksum(metadata: DataFrame) -> DataFrame:
 
 def train_job(spark: SparkSession, raw: DataFrame, store: RunStore,
               budget: train.Budget | None = None, fit_scope: str = "train",
-              repeats: int = cfg.PERMUTATION_REPEATS, starts: int = cfg.KMEANS_STARTS) -> str:
+              repeats: int = cfg.PERMUTATION_REPEATS, starts: int = cfg.KMEANS_STARTS,
+              threshold: float = cfg.PROMOTION_THRESHOLD) -> str:
     """Train, decide, write every output under a new run and publish it."""
     budget = budget or train.Budget()
     run_id = train.utc_stamp()
@@ -81,12 +84,11 @@ def train_job(spark: SparkSession, raw: DataFrame, store: RunStore,
         metrics = {r["model"]: {m: r[m] for m in comparison.columns if m != "model"}
                    for r in comparison.collect()}
 
-        history = promotion_history(s)
-        last = history.orderBy(F.desc("seq")).limit(1).collect()
-        decision = registry.decide(last[0]["new_champion"] if last else None, metrics)
+        last = latest_decision(s)
+        decision = registry.decide(last["new_champion"] if last else None, metrics, threshold)
         champion = tuned[decision["champion"]]
         spark.createDataFrame(
-            [((last[0]["seq"] + 1) if last else 1, decision["action"],
+            [(last["seq"] + 1 if last else 1, decision["action"],
               decision["previous_champion"], decision["champion"], decision["challenger"],
               decision["champion_metric"], decision["challenger_metric"], decision["delta"])],
             HISTORY_SCHEMA).coalesce(1).write.parquet(s.path(run, "promotion_history"))
@@ -105,6 +107,9 @@ def train_job(spark: SparkSession, raw: DataFrame, store: RunStore,
             "scored")
         segments = Segmentation.fit(probable, starts=starts)
         segments.save(spark, s.path(run, "segmentation"))
+        means = background_means(vectors, features)
+        spark.createDataFrame(list(means.items()), "feature string, mean double").coalesce(1) \
+            .write.parquet(s.path(run, "background"))
         mapping_table(spark, segments.mapping).coalesce(1).write.json(
             s.path(run, "segment_mapping"))
         assigned = segments.assign(probable)
@@ -112,7 +117,7 @@ def train_job(spark: SparkSession, raw: DataFrame, store: RunStore,
                   s.path(run, "segment_assignments"))
         assigned.drop("cluster_id").write.partitionBy("segment").parquet(
             s.path(run, "processed_customers"))
-        global_importance(contributions(champion.model, vectors, features)) \
+        global_importance(contributions(champion.model, vectors, features, means)) \
             .write.parquet(s.path(run, "evaluation/shap_importance"))
 
         metric_rows(run, comparison).unionByName(metric_rows(run, comparison.where(
@@ -134,22 +139,62 @@ HISTORY_SCHEMA = """seq bigint, action string, previous_champion string, new_cha
 
 
 def promotion_history(store: RunStore) -> DataFrame:
-    """Decisions of all published runs: each run holds the one row it added."""
+    """Decisions of all published runs, and rollbacks: every entry is one row."""
     paths = [store.path(r["run_id"], "promotion_history")
              for r in store.published().select("run_id").collect()]
+    extra = f"{store.base}/rollbacks"
+    if path_exists(store.spark, extra):
+        paths.append(extra)
     if not paths:
         return store.spark.createDataFrame([], HISTORY_SCHEMA)
     return store.spark.read.schema(HISTORY_SCHEMA).parquet(*paths)
 
 
+def latest_decision(store: RunStore):
+    row = promotion_history(store).orderBy(F.desc("seq")).limit(1).collect()
+    return row[0] if row else None
+
+
+def rollback(store: RunStore) -> dict:
+    """Swap champion and challenger without training; one more history row."""
+    last = latest_decision(store)
+    if last is None:
+        raise ValueError("Cannot rollback before champion and challenger are initialized")
+    metric = {r["model"]: r["value"] for r in store.read("training_runs").where(
+        F.col("metric") == cfg.PRIMARY_METRIC).collect()}
+    champion, challenger = last["challenger"], last["new_champion"]
+    entry = (last["seq"] + 1, "manual_rollback", last["new_champion"], champion, challenger,
+             metric[champion], metric[challenger], metric[challenger] - metric[champion])
+    store.spark.createDataFrame([entry], HISTORY_SCHEMA).coalesce(1) \
+        .write.mode("append").parquet(f"{store.base}/rollbacks")
+    return {"action": "manual_rollback", "champion": champion, "challenger": challenger,
+            "delta": entry[-1]}
+
+
 def serving_model(store: RunStore) -> tuple[str, str]:
     """(model name, path) to serve: the champion by history if its files exist,
     else the one the run's metadata names."""
     run_id = store.current()
     if run_id is None:
         raise FileNotFoundError("nothing published yet")
-    last = promotion_history(store).orderBy(F.desc("seq")).limit(1).collect()
-    name = last[0]["new_champion"] if last else None
+    last = latest_decision(store)
+    name = last["new_champion"] if last else None
     if name is None or not path_exists(store.spark, store.path(run_id, f"models/{name}")):
         name = read_metadata(store, run_id).first()["best_model_name"]
     return name, store.path(run_id, f"models/{name}")
+
+
+LEGACY_SCHEMA = """promotion_threshold double, history array<struct<timestamp:string,action:string,
+  previous_champion:string,new_champion:string,champion_metric:double,challenger_metric:double,
+  delta:double>>"""
+
+
+def read_legacy_registry(spark: SparkSession, path: str) -> tuple[DataFrame, float]:
+    """History rows and promotion threshold of an old registry kept as one JSON file."""
+    payload = spark.read.schema(LEGACY_SCHEMA).option("multiLine", True).json(path)
+    stored = payload.select("promotion_threshold").first()["promotion_threshold"]
+    history = payload.select(F.posexplode("history").alias("at", "h")).select(
+        (F.col("at") + 1).cast("bigint").alias("seq"),
+        F.to_timestamp("h.timestamp").alias("decided_at"), "h.action", "h.previous_champion",
+        "h.new_champion", "h.champion_metric", "h.challenger_metric", "h.delta")
+    return history, cfg.PROMOTION_THRESHOLD if stored is None else stored

@@ -44,9 +44,16 @@ def _per_batch(stream: DataFrame, work: Callable[[DataFrame], DataFrame], out: s
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def score_stream(records: DataFrame, medians: dict[str, float], out: str, checkpoint: str,
-                 event_time: str | None = None, watermark: str = WATERMARK) -> StreamingQuery:
-    """Prediction records of each arriving batch.
+def scorecard_predictor(medians: dict[str, float]) -> Callable[[DataFrame], DataFrame]:
+    """Prediction records of raw rows under fitted medians, both scorecards."""
+    return lambda batch: predict_batch(
+        engineer(clean(batch, medians)), challenger=cfg.CHALLENGER)
+
+
+def score_stream(records: DataFrame, predict: Callable[[DataFrame], DataFrame], out: str,
+                 checkpoint: str, event_time: str | None = None,
+                 watermark: str = WATERMARK) -> StreamingQuery:
+    """Prediction records of each arriving batch, by any predictor of raw rows.
 
     Repeated ids are dropped within a batch; with an event-time column also
     across batches, as long as the watermark remembers them.
@@ -54,8 +61,7 @@ def score_stream(records: DataFrame, medians: dict[str, float], out: str, checkp
     if event_time:
         records = records.withWatermark(event_time, watermark) \
             .dropDuplicatesWithinWatermark([cfg.ID]).drop(event_time)
-    return _per_batch(records, lambda b: predict_batch(
-        engineer(clean(b, medians)), challenger=cfg.CHALLENGER), out, checkpoint)
+    return _per_batch(records, predict, out, checkpoint)
 
 
 def redact_stream(events: DataFrame, out: str, checkpoint: str) -> StreamingQuery:

@@ -13,6 +13,7 @@ from keepwell import config as cfg
 from keepwell.functions.ordered import RANGE
 from keepwell.operators import evaluate, explain, registry, sampling, smote, train
 from keepwell.plans import train_job as jobs
+from keepwell.plans.serve import Predictor
 from keepwell.sources import scratch, subscribers
 from keepwell.sources.runs import RunStore
 
@@ -247,3 +248,41 @@ def test_training_job_end_to_end(spark, sf_dir):
     for table in ("classification_report", "roc_curve", "permutation_importance",
                   "shap_importance", "feature_importance"):
         assert store.read(f"evaluation/{table}").count() > 1
+
+    # Serving: the processed table's probabilities again, with shadow and reasons.
+    predictor = Predictor.load(store)
+    records = predictor.predict_batch(raw, include_explanation=True, shadow=True).collect()
+    assert len(records) == 1500
+    stored = {r[cfg.ID]: r["churn_probability"] for r in processed.collect()}
+    assert all(r["churn_probability"] == pytest.approx(stored[r[cfg.ID]]) for r in records)
+    first = records[0]
+    assert len(first["top_contributors"]) == 5
+    assert first["explanation"].startswith("Why this customer may churn: ")
+    assert first["challenger_prediction"]["model_name"] == predictor.challenger_name
+    segments = predictor.get_segment(raw)
+    assert segments.where("segment is not null").count() == 1500
+
+    # A rollback swaps the roles and the served model follows.
+    swap = jobs.rollback(store)
+    assert swap["champion"] == predictor.challenger_name
+    again = Predictor.load(store)
+    assert again.champion_name == predictor.challenger_name
+    one = again.predict_batch(raw.limit(3), include_explanation=True).collect()
+    assert len(one) == 3 and all(0 <= r["churn_probability"] <= 1 for r in one)
+    assert [r["action"] for r in jobs.promotion_history(store).orderBy("seq").collect()] == [
+        "initial", "manual_rollback"]
+
+
+def test_rollback_needs_a_published_run(spark):
+    with pytest.raises(ValueError, match="Cannot rollback"):
+        jobs.rollback(RunStore(spark, scratch.scratch_path(spark, "empty")))
+
+
+def test_legacy_registry(spark, tmp_path):
+    path = tmp_path / "registry.json"
+    path.write_text("""{"champion": {"model_name": "a"}, "promotion_threshold": 0.02, "history": [
+      {"timestamp": "2024-01-01T00:00:00+00:00", "action": "initial", "new_champion": "a",
+       "previous_champion": null, "champion_metric": 0.8, "challenger_metric": 0.7,
+       "delta": -0.1}]}""")
+    history, threshold = jobs.read_legacy_registry(spark, str(path))
+    assert threshold == 0.02 and history.first()["new_champion"] == "a"

@@ -17,7 +17,8 @@ def test_repeated_ids_within_and_across_batches(spark, sf_dir):
     medians = clean.fit_medians(raw)
     out, progress = (scratch.scratch_path(spark, n) for n in ("out", "progress"))
     records = streaming.read_records(spark, landing, raw.schema, files_per_batch=1)
-    streaming.score_stream(records, medians, out, progress, event_time="arrived") \
+    streaming.score_stream(
+        records, streaming.scorecard_predictor(medians), out, progress, event_time="arrived") \
         .awaitTermination()
     got = streaming.read_batches(spark, out)
     n = raw.count()
