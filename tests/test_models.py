@@ -95,8 +95,9 @@ def test_roles_and_history(spark):
     assert registry.recent_promotions(history, 2).count() == 2
 
 
-@pytest.mark.parametrize("block_rows,pivots", [(2048, 512), (20, 6)])
-def test_neighbours_equal_brute_force(spark, block_rows, pivots):
+@pytest.mark.parametrize("block_rows,pivots,near", [(2048, 512, 128), (20, 6, 1), (7, 40, 12)])
+def test_neighbours_equal_brute_force(spark, monkeypatch, block_rows, pivots, near):
+    monkeypatch.setattr(smote, "NEAR_ROWS", near)
     rng = np.random.default_rng(2)
     x = np.round(rng.normal(size=(240, 4)), 1)
     x[:80] = x[0]            # a third of all rows are copies
@@ -105,7 +106,7 @@ def test_neighbours_equal_brute_force(spark, block_rows, pivots):
     df = spark.createDataFrame(
         pd.DataFrame({"customerID": ids, **{f"f{j}": x[:, j] for j in range(4)}}))
     got = smote.nearest_neighbors(df, [f"f{j}" for j in range(4)], 5, block_rows=block_rows,
-                                  max_pivots=pivots)
+                                  max_pivots=pivots, cell_rows=4)
     found = {r["key"]: [n["key"] for n in r["neighbors"]] for r in got.collect()}
     assert len(found) == len(x)
     for i, key in enumerate(ids):
