@@ -49,6 +49,11 @@ def customer_lookup(df: DataFrame, wanted: str) -> DataFrame:
         .drop("churn_probability", "segment", "cluster_id", cfg.TARGET)
 
 
+def first_customers(df: DataFrame, n: int = 100) -> DataFrame:
+    """The first n ids in id order, to choose from."""
+    return df.select(cfg.ID).where(F.col(cfg.ID).isNotNull()).orderBy(cfg.ID).limit(n)
+
+
 def customers_lookup(df: DataFrame, wanted: DataFrame) -> DataFrame:
     """The records of many requested keys."""
     return df.join(wanted.select(cfg.ID), cfg.ID, "left_semi")

@@ -726,6 +726,19 @@ def customer_lookup(spark, sf_dir):
     return rounded(reports.customer_lookup(base.raw(spark, sf_dir), "Customer#000000042"))
 
 
+@query
+def first_customers(spark, sf_dir):
+    return reports.first_customers(base.raw(spark, sf_dir))
+
+
+@query
+def high_risk_lookup(spark, sf_dir):
+    """Records of many requested ids at once: those of the high-risk customers."""
+    wanted = base.scored(spark, sf_dir).where(
+        F.col("churn_probability") >= cfg.HIGH_RISK_THRESHOLD)
+    return rounded(reports.customers_lookup(base.raw(spark, sf_dir), wanted))
+
+
 @query
 def segment_clv(spark, sf_dir):
     return rounded(reports.segment_clv(base.segmented(spark, sf_dir)))

@@ -556,6 +556,8 @@ def oracle_sql() -> dict[str, str]:
     sql["top_risk_customers"] = _with(SEGMENTED, f"""SELECT customerID, {m('tenure', 'tenure')}, {m('MonthlyCharges', 'MonthlyCharges')}, p AS churn_probability, segment
       FROM (SELECT *, {m('churn_probability')} AS p FROM segmented) WHERE p >= 0.7E0 ORDER BY p DESC, customerID LIMIT 20""")
     sql["customer_lookup"] = _with(SUBSCRIBERS, f"SELECT * EXCLUDE (Churn) REPLACE ({m('MonthlyCharges')} AS MonthlyCharges) FROM raw WHERE customerID = 'Customer#000000042' LIMIT 1")
+    sql["first_customers"] = _with(SUBSCRIBERS, "SELECT customerID FROM raw WHERE customerID IS NOT NULL ORDER BY customerID LIMIT 100")
+    sql["high_risk_lookup"] = _with(SCORED, f"SELECT {_ROUND_RAW} FROM raw WHERE customerID IN (SELECT customerID FROM scored WHERE churn_probability >= 0.7E0)")
     sql["segment_clv"] = _with(SEGMENTED, f"SELECT segment, {m('sum(clv_estimate)', 'clv_estimate')} FROM segmented GROUP BY segment")
     sql["segment_counts"] = _with(SEGMENTED, "SELECT segment, count(*) AS n FROM segmented GROUP BY segment")
     sql["churn_counts"] = _with(SUBSCRIBERS, "SELECT Churn, count(*) AS n FROM raw GROUP BY Churn")

@@ -20,9 +20,20 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def _session_folder(spark: SparkSession) -> str:
+    return f"{scratch_root(spark)}/keepwell/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path no other run uses."""
-    return f"{scratch_root(spark)}/keepwell/{name}-{uuid.uuid4().hex}"
+    return f"{_session_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove everything this session wrote to scratch, once no frame reads it any more."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(_session_folder(spark))
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -148,3 +148,12 @@ def test_failed_run_leaves_the_published_one(spark):
     assert not path_exists(spark, store.path("r2", "t"))
     store.run("r3", lambda s, r: spark.range(5).write.parquet(s.path(r, "t")))
     assert store.read("t").count() == 5 and store.published().count() == 2
+
+
+def test_scratch_is_cleared_by_session(spark):
+    from keepwell.sources.subscribers import path_exists
+    df = scratch.materialize(spark.range(3), "t")
+    folder = scratch._session_folder(spark)
+    assert df.count() == 3 and path_exists(spark, folder)
+    scratch.clear_scratch(spark)
+    assert not path_exists(spark, folder)
