@@ -157,7 +157,7 @@ def permutation_importance(engineered: DataFrame, card: Scorecard = cfg.CHAMPION
     dealt = rows.select(key, *[F.col(f).alias(f"_new_{f}") for f in features]) \
         .withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats)))) \
         .withColumn("_hash", F.md5(F.concat(
-            F.col(key), F.lit("|deal|"), F.col("repeat").cast("string"))))
+            F.coalesce(F.col(key), F.lit("")), F.lit("|deal|"), F.col("repeat").cast("string"))))
     donors = hash_rank(dealt, ["repeat"], "_hash", key, out="_rank") \
         .select("repeat", "_rank", *[f"_new_{f}" for f in features])
     pairs = targets.join(donors, ["repeat", "_rank"])

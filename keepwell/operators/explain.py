@@ -99,8 +99,9 @@ def read_leaves(model) -> list[Leaf]:
     model.write().save(path)
     nodes: dict[int, dict[int, object]] = {}
     rows = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").select(
-        "treeID", "id", "prediction", F.get("impurityStats", F.lit(0)).alias("weight"), "leftChild",
-        "rightChild", "split.featureIndex", F.get("split.leftCategoriesOrThreshold", F.lit(0)).alias("at"))
+        "treeID", "id", "prediction", "leftChild", "rightChild", "split.featureIndex",
+        F.get("impurityStats", F.lit(0)).alias("weight"),
+        F.get("split.leftCategoriesOrThreshold", F.lit(0)).alias("at"))
     for r in rows.collect():
         nodes.setdefault(r["treeID"], {})[r["id"]] = r
     leaves: list[Leaf] = []

@@ -23,6 +23,7 @@ def stratified_split(df: DataFrame, label: str = "label", key: str = cfg.ID,
                      test_size: float = cfg.TEST_SIZE, seed: int = cfg.SEED) -> DataFrame:
     """Adds is_test: the first ceil(test_size * n) rows of each class in hash order.
 
+    Rows without a label cannot be split by class and take no part.
     The class sizes are a two-row lookup, so that join broadcasts them.
     """
     sizes = df.where(F.col(label).isNotNull()).groupBy(label) \

@@ -161,7 +161,8 @@ def permutation_importance(model, data: DataFrame, features: Sequence[str],
     each = F.explode(F.sequence(F.lit(1), F.lit(repeats)))
     targets = base.select("_rank", "label", "x").withColumn("repeat", each)
     dealt = rows.select(key, F.col("x").alias("new")).withColumn("repeat", each).withColumn(
-        "_hash", F.md5(F.concat(F.col(key), F.lit("|deal|"), F.col("repeat").cast("string"))))
+        "_hash", F.md5(F.concat(F.coalesce(F.col(key), F.lit("")), F.lit("|deal|"),
+                                F.col("repeat").cast("string"))))
     donors = hash_rank(dealt, ["repeat"], "_hash", key, out="_rank").select(
         "repeat", "_rank", "new")
     pairs = targets.join(donors, ["repeat", "_rank"])

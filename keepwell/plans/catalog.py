@@ -701,7 +701,8 @@ def tree_contributions_sum(spark, sf_dir):
     """Rows, and rows whose contributions and base value miss the margin."""
     model, prep, vectors = _fitted_gbt(spark, sf_dir)
     made = explain.tree_contributions(vectors, model, prep.features)
-    total = F.aggregate(explain.CONTRIBUTIONS, F.col("base_value"), lambda a, c: a + c["shap_value"])
+    total = F.aggregate(
+        explain.CONTRIBUTIONS, F.col("base_value"), lambda a, c: a + c["shap_value"])
     return made.agg(F.count(F.lit(1)).alias("n_rows"),
                     F.count_if(F.abs(total - F.col("margin")) > 1e-9).alias("n_off"))
 

@@ -172,7 +172,8 @@ def test_tree_contributions_are_shapley_values(spark):
     leaves = explain.read_leaves(model)
     got = explain.tree_values(pdf[names].to_numpy()[:25], leaves, 4)
     for i in range(25):
-        assert got[i, :4] == pytest.approx(_brute_shapley(leaves, pdf[names].to_numpy()[i], 4), abs=1e-9)
+        want = _brute_shapley(leaves, pdf[names].to_numpy()[i], 4)
+        assert got[i, :4] == pytest.approx(want, abs=1e-9)
     rows = explain.tree_contributions(data, model, names).collect()
     for r in rows:
         total = r["base_value"] + sum(c["shap_value"] for c in r["contributions"])
