@@ -9,7 +9,7 @@ vocabulary and aggregates the bytes in order of position.
 
 Defined cases: a null text counts as empty and has no tokens; an empty table
 gives an empty table; repeated rows are encoded row by row; other columns pass
-through; a column that has the name of a new one raises ValueError.
+through, and a new column replaces one of its name.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from keepwell.llm.common import fresh_columns, ragged, text_batches, text_slices, worker_state
+from keepwell.llm.common import ragged, text_batches, text_slices, without, worker_state
 
 #: Words whose tokens a Python worker remembers; beyond that it starts anew.
 CACHE_WORDS = 600_000
@@ -254,7 +254,7 @@ def codec(blob: bytes, pattern: str) -> Codec:
 
 def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
     """`df` with the array column `ids`: the tokens of each whole text, never null."""
-    fresh_columns(df, ids)
+    df = without(df, ids)
     spark = df.sparkSession
     text_batches(spark)
     blob = spark.sparkContext.broadcast(read_vocabulary(vocabulary))
@@ -276,7 +276,7 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids
 def decode(df: DataFrame, vocabulary: str, pattern: str, ids: str = "token_ids",
            decoded: str = "decoded") -> DataFrame:
     """`df` with the binary column `decoded`; null ids count as none, an unknown id raises."""
-    fresh_columns(df, decoded)
+    df = without(df, decoded)
     spark = df.sparkSession
     text_batches(spark)
     blob = spark.sparkContext.broadcast(read_vocabulary(vocabulary))

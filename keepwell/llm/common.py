@@ -30,11 +30,31 @@ def worker_state() -> dict:
     return vars(sys.modules.setdefault("_keepwell_worker", ModuleType("_keepwell_worker")))
 
 
-def fresh_columns(df: DataFrame, *names: str) -> None:
-    """Raise if the input already has a column of a name that the operator adds."""
-    taken = {c.lower() for c in df.columns}
-    if clash := [n for n in names if n.lower() in taken]:
-        raise ValueError(f"the input already has the columns {clash}; rename them")
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """`df` without columns of these names: what an operator adds replaces what was there."""
+    gone = {n.lower() for n in names}
+    return df.select(*[quoted(c) for c in df.columns if c.lower() not in gone])
+
+
+def whole_rows(df: DataFrame, **columns: str) -> DataFrame:
+    """Each row as the struct `row`, beside the named columns under the operator's own names.
+
+    Whatever else the input calls its columns can't clash with what the operator adds.
+    """
+    return df.select(*[F.col(quoted(c)).alias(n) for n, c in columns.items()],
+                     F.struct(*[quoted(c) for c in df.columns]).alias("row"))
+
+
+def rows_back(df: DataFrame, source: DataFrame, **values: "F.Column") -> DataFrame:
+    """The struct's columns again, those named in `values` replaced or added."""
+    new = {n.lower(): v.alias(n) for n, v in values.items()}
+    kept = [new.pop(c.lower()).alias(c) if c.lower() in new else F.col(f"row.{quoted(c)}")
+            for c in source.columns]
+    return df.select(*kept, *new.values())
 
 
 def text_slices(batch: pa.RecordBatch, column: str, most_bytes: int) -> Iterator[tuple[int, list[str | None]]]:
