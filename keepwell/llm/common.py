@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keepwell.sources.scratch import scratch_path
+
 #: Rows and bytes of an Arrow batch that carries whole texts; Spark's own bounds are meant for short rows.
 TEXT_ROWS, TEXT_BATCH_BYTES = 2000, 16 << 20
 #: What `[\x20\x09-\x0D]` matches.
@@ -86,3 +88,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ascii_lower(column) -> "F.Column":
     """A-Z in lower case, all else as it is."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def saved(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The frame written to the shared scratch folder and read back, and its path."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a saved frame that nothing reads any more."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepwell.llm import bpe, lines
+from keepwell.llm import bpe, lines, simhash
 from keepwell.llm.common import table
 
 
@@ -38,5 +38,11 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE doc_id <> keeper) AS
 FROM keyed LEFT JOIN shared USING (k) GROUP BY doc_id
 """
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_lines": op2_lines}
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words_a_shingle=4)
+    return found.select(F.col("id").alias("doc_id"), simhash.unsigned_hex("fp").alias("fingerprint"), "component_id")
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_lines": op2_lines, "op4_simhash": op4_simhash}
 ORACLE_SQL: dict[str, str] = {"op2_lines": OP2_SQL}
