@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepwell.llm import bpe, lines, simhash
+from keepwell.llm import bpe, lines, quality, simhash
 from keepwell.llm.common import table
 
 
@@ -44,5 +44,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), simhash.unsigned_hex("fp").alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_lines": op2_lines, "op4_simhash": op4_simhash}
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of both views and of their combination for every document, and whether it is kept."""
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_lines": op2_lines, "op4_simhash": op4_simhash, "op7_quality": op7_quality}
 ORACLE_SQL: dict[str, str] = {"op2_lines": OP2_SQL}
