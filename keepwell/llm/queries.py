@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepwell.llm import bpe, lines, quality, simhash
+from keepwell.llm import bpe, lines, quality, simhash, templates
 from keepwell.llm.common import table
 
 
@@ -49,5 +49,11 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_lines": op2_lines, "op4_simhash": op4_simhash, "op7_quality": op7_quality}
+def op10_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, its values changed or not."""
+    return templates.judge_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_lines": op2_lines, "op4_simhash": op4_simhash, "op7_quality": op7_quality,
+           "op10_templates": op10_templates}
 ORACLE_SQL: dict[str, str] = {"op2_lines": OP2_SQL}
