@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from keepwell.llm.common import ragged, text_batches, text_slices, without, worker_state
 
 #: Words whose tokens a Python worker remembers; beyond that it starts anew.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_200_000
 #: Words that one recursive query contracts.
 WORDS_A_QUERY = 40_000
 #: Text bytes that are encoded at a time.
