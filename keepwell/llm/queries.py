@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepwell.llm import bpe, lines, quality, simhash, templates
+from keepwell.llm import bpe, lines, quality, simhash, templates, token_files
 from keepwell.llm.common import table
 
 
@@ -54,6 +54,12 @@ def op10_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.judge_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_lines": op2_lines, "op4_simhash": op4_simhash, "op7_quality": op7_quality,
-           "op10_templates": op10_templates}
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offsets, lengths and checksums of all documents, from the token files that were written."""
+    files = token_files.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return token_files.read_documents(spark, files.folder)
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_lines": op2_lines, "op4_simhash": op4_simhash, "op5_token_files": op5_token_files,
+           "op7_quality": op7_quality, "op10_templates": op10_templates}
 ORACLE_SQL: dict[str, str] = {"op2_lines": OP2_SQL}
