@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepwell.llm import bpe, lines, quality, simhash, templates, token_files
+from keepwell.llm import bpe, lines, quality, simhash, templates, token_files, warc
 from keepwell.llm.common import table
 
 
@@ -60,6 +60,13 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(spark, files.folder)
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Record of every page in WARC files that were converted from ARC files."""
+    folder, files = warc.archive(table(spark, sf_dir, "pages"), least_bytes=0)
+    return warc.read_warc(spark, folder, files)
+
+
+# DuckDB has no SHA-1; the twin of the digest is in the tests.
 QUERIES = {"op1_bpe": op1_bpe, "op2_lines": op2_lines, "op4_simhash": op4_simhash, "op5_token_files": op5_token_files,
-           "op7_quality": op7_quality, "op10_templates": op10_templates}
+           "op7_quality": op7_quality, "op9_warc": op9_warc, "op10_templates": op10_templates}
 ORACLE_SQL: dict[str, str] = {"op2_lines": OP2_SQL}
