@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepwell.llm import bpe, lines, quality, simhash, templates, token_files, warc
+from keepwell.llm import bpe, license_scan, lines, quality, simhash, templates, token_files, warc
 from keepwell.llm.common import table
 
 
@@ -66,7 +66,12 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_warc(spark, folder, files)
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and templates in every document."""
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 # DuckDB has no SHA-1; the twin of the digest is in the tests.
 QUERIES = {"op1_bpe": op1_bpe, "op2_lines": op2_lines, "op4_simhash": op4_simhash, "op5_token_files": op5_token_files,
-           "op7_quality": op7_quality, "op9_warc": op9_warc, "op10_templates": op10_templates}
+           "op6_licenses": op6_licenses, "op7_quality": op7_quality, "op9_warc": op9_warc, "op10_templates": op10_templates}
 ORACLE_SQL: dict[str, str] = {"op2_lines": OP2_SQL}
