@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepwell.llm import bpe, license_scan, lines, quality, simhash, templates, token_files, warc
+from keepwell.llm import bpe, caps, license_scan, lines, quality, simhash, templates, token_files, warc
 from keepwell.llm.common import table
 
 
@@ -71,7 +71,28 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op3_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and near-duplicate component of every embedding."""
+    found = caps.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", "kept")
+
+
+OP3_SQL = """
+WITH RECURSIVE ok AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, x -> x <> 0)) > 0),
+pairs AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM ok a JOIN ok b
+    ON a.vec_id < b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.95),
+links AS (SELECT x, y FROM pairs UNION ALL SELECT y, x FROM pairs),
+reach AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT reach.x, links.y FROM reach JOIN links ON links.x = reach.y)
+SELECT e.vec_id, (SELECT count(*) FROM links WHERE links.x = e.vec_id)::BIGINT AS n_links, r.c AS component_id, e.vec_id = r.c AS kept
+FROM embeddings e JOIN (SELECT x, min(y) AS c FROM reach GROUP BY x) r ON r.x = e.vec_id
+"""
+
 # DuckDB has no SHA-1; the twin of the digest is in the tests.
-QUERIES = {"op1_bpe": op1_bpe, "op2_lines": op2_lines, "op4_simhash": op4_simhash, "op5_token_files": op5_token_files,
-           "op6_licenses": op6_licenses, "op7_quality": op7_quality, "op9_warc": op9_warc, "op10_templates": op10_templates}
-ORACLE_SQL: dict[str, str] = {"op2_lines": OP2_SQL}
+QUERIES = {"op1_bpe": op1_bpe, "op2_lines": op2_lines, "op3_caps": op3_caps, "op4_simhash": op4_simhash,
+           "op5_token_files": op5_token_files, "op6_licenses": op6_licenses, "op7_quality": op7_quality, "op9_warc": op9_warc,
+           "op10_templates": op10_templates}
+ORACLE_SQL: dict[str, str] = {"op2_lines": OP2_SQL, "op3_caps": OP3_SQL}
