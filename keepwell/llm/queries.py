@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepwell.llm import bpe, caps, license_scan, lines, quality, simhash, templates, token_files, warc
+from keepwell.llm import bpe, caps, license_scan, lines, quality, simhash, surrogate, templates, token_files, warc
 from keepwell.llm.common import table
 
 
@@ -91,8 +91,14 @@ SELECT e.vec_id, (SELECT count(*) FROM links WHERE links.x = e.vec_id)::BIGINT A
 FROM embeddings e JOIN (SELECT x, min(y) AS c FROM reach GROUP BY x) r ON r.x = e.vec_id
 """
 
+def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with surrogates in place of its personal data."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return surrogate.replace_entities(docs, key=b"a key that a deployment keeps to itself")
+
+
 # DuckDB has no SHA-1; the twin of the digest is in the tests.
 QUERIES = {"op1_bpe": op1_bpe, "op2_lines": op2_lines, "op3_caps": op3_caps, "op4_simhash": op4_simhash,
-           "op5_token_files": op5_token_files, "op6_licenses": op6_licenses, "op7_quality": op7_quality, "op9_warc": op9_warc,
-           "op10_templates": op10_templates}
+           "op5_token_files": op5_token_files, "op6_licenses": op6_licenses, "op7_quality": op7_quality,
+           "op8_surrogates": op8_surrogates, "op9_warc": op9_warc, "op10_templates": op10_templates}
 ORACLE_SQL: dict[str, str] = {"op2_lines": OP2_SQL, "op3_caps": OP3_SQL}
