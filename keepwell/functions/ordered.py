@@ -22,8 +22,7 @@ RANGE = "_range"
 
 def range_count(df: DataFrame) -> int:
     """Number of value ranges to work in: follows the session's shuffle width."""
-    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(8, min(4 * width, 4096))
+    return max(8, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def cut_points(df: DataFrame, columns: Sequence[str], n: int | None = None) -> dict[str, list]:
@@ -75,9 +74,9 @@ def with_tied_range(df: DataFrame, column: str, tie: str, out: str = RANGE) -> D
         shared, F.col("_inner")).otherwise(0)).drop("_inner")
 
 
-def hash_range(key: Column, digits: int = 3) -> Column:
-    """Range number of an md5 text: its leading hex digits, even by construction."""
-    return F.substring(key, 1, digits)
+def hash_range(key: Column, ranges: int) -> Column:
+    """Range number of an md5 text: as many leading hex digits as make that many ranges, even by construction."""
+    return F.substring(key, 1, max(1, math.ceil(math.log(ranges, 16))))
 
 
 def running(
@@ -136,5 +135,5 @@ def running(
 
 def hash_rank(df: DataFrame, by: Sequence[str], key: str, tie: str, out: str = "rank") -> DataFrame:
     """1-based rank within `by` in the order of an md5 text column, then `tie`."""
-    ranged = df.withColumn(RANGE, hash_range(F.col(key)))
+    ranged = df.withColumn(RANGE, hash_range(F.col(key), range_count(df)))
     return running(ranged, by, [key, tie], sums={out: F.lit(1).cast("bigint")}).drop(RANGE)

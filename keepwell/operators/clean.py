@@ -36,21 +36,25 @@ def fill_senior(df: DataFrame) -> DataFrame:
 
 
 def keep_first(df: DataFrame, key: str = cfg.ID, sequence: str | None = None) -> DataFrame:
-    """One row per key: the lowest `sequence` (null keys count as one key).
+    """One row per key: the lowest `sequence`; rows without a key all stay.
 
     A minimum over a struct is combined on the map side, so a key with very
     many copies sends one row per map task.  Without a sequence column, and on
-    ties, the smallest whole row wins, so the result does not depend on
-    partitioning.
+    ties, the smallest whole row wins, one with a target before one without, so
+    the result does not depend on partitioning.  An anonymous record is nobody's
+    copy: it gets a number of its own, which also spreads such rows evenly.
     """
     if key not in df.columns:
         return df
     rest = [c for c in df.columns if c not in (key, sequence)]
-    lead = [F.col(sequence)] if sequence else []
+    lead = [F.col(sequence).alias("_order")] if sequence else []
+    if cfg.TARGET in rest:
+        lead.append(F.col(cfg.TARGET).isNull().alias("_untold"))
     picked = F.min(F.struct(*lead, *[F.col(f"`{c}`") for c in rest])).alias("_row")
-    one = df.groupBy(key).agg(picked)
-    return one.select(*[F.col(key) if c == key else F.col(f"_row.`{c}`").alias(c)
-                        for c in df.columns])
+    alone = F.when(F.col(key).isNull(), F.monotonically_increasing_id())
+    one = df.withColumn("_alone", alone).groupBy(key, "_alone").agg(picked)
+    return one.select(*[F.col(key) if c == key else F.col("_row._order" if c == sequence else f"_row.`{c}`")
+                        .alias(c) for c in df.columns])
 
 
 def prepare(df: DataFrame, sequence: str | None = None) -> DataFrame:

@@ -14,8 +14,6 @@ from keepwell.functions.columns import any_of, lookup, model_label, select_or_ze
 from keepwell.operators.clean import clean, fit_clean
 from keepwell.operators.features import engineer
 
-MAX_CATEGORIES = 10_000
-
 
 def encode_binary(df: DataFrame) -> DataFrame:
     """Two-valued text as 0/1; an unknown value stays missing."""
@@ -26,17 +24,14 @@ def encode_binary(df: DataFrame) -> DataFrame:
 def fit_categories(df: DataFrame) -> dict[str, list[str]]:
     """Sorted distinct texts of each categorical column.
 
-    Distinct (column, text) pairs are found with partial aggregation; more than
-    MAX_CATEGORIES of them is an error, not a driver-sized result.
+    One pass: every column's set is one partial aggregate.  Each text becomes a
+    column of the model's matrix, so the sets are as small as that matrix is narrow.
     """
     names = any_of(cfg.ONE_HOT_COLUMNS, df.columns)
-    pairs = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in names
-    ])).alias("p")).select("p.*").where("value is not null").distinct()
-    rows = pairs.limit(MAX_CATEGORIES + 1).collect()
-    if len(rows) > MAX_CATEGORIES:
-        raise ValueError(f"more than {MAX_CATEGORIES} categories: not categorical columns")
-    return {c: sorted(r["value"] for r in rows if r["name"] == c) for c in names}
+    if not names:
+        return {}
+    row = df.agg(*[F.collect_set(F.col(c).cast("string")).alias(c) for c in names]).first()
+    return {c: sorted(row[c]) for c in names}
 
 
 def dummy_names(categories: dict[str, list[str]]) -> list[tuple[str, str, str]]:

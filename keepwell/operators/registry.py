@@ -151,6 +151,14 @@ def recent_promotions(history: DataFrame, n: int = 10) -> DataFrame:
         .where(F.col("_n") <= n).drop("_n").orderBy("line", "seq").select(*HISTORY)
 
 
+def status(history: DataFrame, settings: DataFrame | None = None) -> DataFrame:
+    """Per line: roles, threshold in force, accepted entries, and the last ten actions, oldest first."""
+    recent = recent_promotions(history).groupBy("line").agg(F.array_join(F.transform(
+        F.sort_array(F.collect_list(F.struct("seq", "action"))), lambda x: x["action"]), ",").alias("recent_actions"))
+    counts = history.where("action <> 'rejected'").groupBy("line").agg(F.count(F.lit(1)).alias("n_entries"))
+    return threshold_per_line(current_roles(history), settings).join(counts, "line").join(recent, "line")
+
+
 def decide(champion: str | None, metrics: dict[str, dict[str, float]],
            threshold: float = cfg.PROMOTION_THRESHOLD) -> dict:
     """One decision for a training job, from its two candidates' metrics."""

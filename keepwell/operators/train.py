@@ -32,16 +32,17 @@ UNLIMITED_DEPTH = 10  # depth used where a setting says "no limit"
 
 @dataclass(frozen=True)
 class Budget:
-    """How much tuning to do.  `full()` is the whole published search."""
+    """How much tuning to do: by default the whole published search.
 
-    folds: int = 3
-    settings: int = 3
-    max_trees: int = 20
-    parallelism: int = 4
+    A smaller one is named by the caller; `trees` then replaces the grid's numbers
+    of trees, so that no two settings come to the same fit.  What was searched is
+    part of the tuning results.
+    """
 
-    @classmethod
-    def full(cls) -> Budget:
-        return cls(cfg.CV_FOLDS, cfg.SEARCH_SETTINGS, 300, 4)
+    folds: int = cfg.CV_FOLDS
+    settings: int = cfg.SEARCH_SETTINGS
+    trees: tuple[int, ...] = tuple(cfg.GBT_GRID["n_estimators"])
+    parallelism: int = 4
 
 
 def assemble(matrix: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -77,7 +78,7 @@ def logistic(total_weight: float, c: float = 1.0) -> LogisticRegression:
         maxIter=cfg.LOGISTIC_MAX_ITER, regParam=1.0 / (c * total_weight))
 
 
-def gbt(trees: int = 20, depth: int = 3, step: float = 0.1, subsample: float = 1.0,
+def gbt(trees: int = cfg.GBT_GRID["n_estimators"][0], depth: int = 3, step: float = 0.1, subsample: float = 1.0,
         seed: int = cfg.SEED) -> GBTClassifier:
     return GBTClassifier(
         featuresCol="features", labelCol="label", weightCol="weight", maxIter=trees,
@@ -88,18 +89,19 @@ def gbt(trees: int = 20, depth: int = 3, step: float = 0.1, subsample: float = 1
 def settings_for(name: str, estimator, total_weight: float, budget: Budget) -> list[tuple]:
     """(readable settings, parameter map) of the sampled grid."""
     if name == LOGISTIC:
-        return [({"C": c}, {estimator.regParam: 1.0 / (c * total_weight)})
-                for c in cfg.LOGISTIC_C][:max(budget.settings, len(cfg.LOGISTIC_C))]
-    grid = [dict(zip(cfg.GBT_GRID, combo)) for combo in itertools.product(*cfg.GBT_GRID.values())]
-    chosen = random.Random(cfg.SEED).sample(grid, min(budget.settings, len(grid)))
-    out = []
-    for s in chosen:
-        trees = min(s["n_estimators"], budget.max_trees)
-        depth = s["max_depth"] if s["max_depth"] > 0 else UNLIMITED_DEPTH
-        out.append(({**s, "n_estimators": trees}, {
-            estimator.maxIter: trees, estimator.maxDepth: depth,
-            estimator.stepSize: s["learning_rate"], estimator.subsamplingRate: s["subsample"]}))
-    return out
+        return [({"C": c}, {estimator.regParam: 1.0 / (c * total_weight)}) for c in cfg.LOGISTIC_C]
+    return [(s, {
+        estimator.maxIter: s["n_estimators"],
+        estimator.maxDepth: s["max_depth"] if s["max_depth"] > 0 else UNLIMITED_DEPTH,
+        estimator.stepSize: s["learning_rate"], estimator.subsamplingRate: s["subsample"]})
+        for s in sampled_grid(budget)]
+
+
+def sampled_grid(budget: Budget) -> list[dict]:
+    """The boosted trees' settings that a search tries."""
+    axes = {**cfg.GBT_GRID, "n_estimators": budget.trees}
+    grid = [dict(zip(axes, combo)) for combo in itertools.product(*axes.values())]
+    return random.Random(cfg.SEED).sample(grid, min(budget.settings, len(grid)))
 
 
 @dataclass
@@ -190,8 +192,21 @@ class TrainData:
     test: DataFrame        # key, label, features vector
 
 
+def training_rows(raw: DataFrame, sequence: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(records, sides): one record per customer, and label and is_test of each labelled one.
+
+    The record is chosen once, as a whole and in load order (`sequence`), so label,
+    split and features are all of the same row.
+    """
+    records = materialize(keep_first(raw, sequence=sequence).drop(*([sequence] if sequence else [])),
+                          "records")
+    named = records.where(F.col(cfg.ID).isNotNull())
+    sides = stratified_split(named.select(cfg.ID, model_label(named).alias("label")))
+    return records, materialize(sides, "split")
+
+
 def prepare_training(raw: DataFrame, budget: Budget, fit_scope: str = "train",
-                     smote: bool = True) -> TrainData:
+                     smote: bool = True, sequence: str | None = None) -> TrainData:
     """Split, fit the preparation, balance, weight and fold.
 
     fit_scope "train" fits the preparation on training rows only; "all" fits it
@@ -199,13 +214,12 @@ def prepare_training(raw: DataFrame, budget: Budget, fit_scope: str = "train",
     """
     if fit_scope not in ("train", "all"):
         raise ValueError("fit_scope is 'train' or 'all'")
-    one = keep_first(raw.select(cfg.ID, cfg.TARGET))
-    marked = stratified_split(one.select(cfg.ID, model_label(one).alias("label")))
-    sides = materialize(marked.select(cfg.ID, "is_test"), "split")
-    fit_on = raw if fit_scope == "all" else raw.join(
+    records, sides = training_rows(raw, sequence)
+    sides = sides.select(cfg.ID, "is_test")
+    fit_on = records if fit_scope == "all" else records.join(
         sides.where("is_test = 0"), cfg.ID, "left_semi")
     prep = Preprocessing.fit(fit_on)
-    matrix = materialize(prep.transform(raw).join(sides, cfg.ID), "matrix")
+    matrix = materialize(prep.transform(records).join(sides, cfg.ID), "matrix")
     train_rows = matrix.where("is_test = 0").drop("is_test")
     filled = train_rows.fillna(0.0, subset=prep.features)
     balanced = balance(filled, prep.features) if smote else filled.withColumns(

@@ -211,6 +211,30 @@ def describe_text(df: DataFrame) -> DataFrame:
         F.max("n").alias("freq"))
 
 
+def validation_report(df: DataFrame) -> DataFrame:
+    """(section, name, value): the whole report as one table.
+
+    Rows and columns, missing values, duplicates, unreadable numbers, outliers and the target's distribution.
+    """
+    def rows(section: str, found: DataFrame, name: str, value: str) -> DataFrame:
+        return found.select(F.lit(section).alias("section"), F.col(name).cast("string").alias("name"),
+                            F.col(value).cast("double").alias("value"))
+
+    shape = table_shape(df).select(F.explode(F.map_from_arrays(
+        F.array(F.lit("rows"), F.lit("columns")), F.array("row_count", "column_count"))).alias("name", "value"))
+    parts = [
+        rows("shape", shape, "name", "value"), rows("missing", missing_values(df), "column_name", "missing"),
+        rows("duplicates", duplicate_ids(df).withColumn("name", F.lit("ids")), "name", "duplicate_ids"),
+        rows("duplicates", duplicate_rows(df).withColumn("name", F.lit("rows")), "name", "duplicate_rows"),
+        rows("dtype", dtype_issues(df), "column_name", "invalid"), rows("outliers", iqr_outliers(df), "column_name", "outlier_count")]
+    if cfg.TARGET in df.columns:
+        parts.append(rows("target", target_distribution(df), cfg.TARGET, "n"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def contract_violations(df: DataFrame) -> DataFrame:
     """Each record with the names of the request rules it breaks (empty: accepted)."""
     required = [c for c in cfg.RAW_COLUMNS if c not in (cfg.ID, cfg.TARGET)]

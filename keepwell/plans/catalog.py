@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -426,17 +427,115 @@ def smote_balance(spark, sf_dir):
                      F.count_if(F.col("off")).alias("n_off_segment"))
 
 
-def _training(spark, sf_dir, smote_rows=True):
-    return train.prepare_training(base.raw(spark, sf_dir), train.Budget(), smote=smote_rows)
+def _training(spark, sf_dir, smote_rows=True, budget=None):
+    return train.prepare_training(base.raw(spark, sf_dir), budget or train.Budget(), smote=smote_rows)
+
+
+def _query_budget():
+    return train.Budget(**cfg.QUERY_SEARCH)
+
+
+@query
+def tuning_grid(spark, sf_dir):
+    """The whole published search: every setting of both candidates, with each fold's class sizes."""
+    budget = train.Budget()
+    settings = [(train.LOGISTIC, i, c, None, None, None, None) for i, c in enumerate(cfg.LOGISTIC_C)]
+    settings += [(train.GBT, i, None, s["n_estimators"], s["max_depth"], s["learning_rate"], s["subsample"])
+                 for i, s in enumerate(train.sampled_grid(budget))]
+    grid = spark.createDataFrame(settings, "model string, setting int, c double, n_estimators int, max_depth int, "
+                                           "learning_rate double, subsample double")
+    folds = sampling.stratified_folds(_labelled_ids(spark, sf_dir), budget.folds).groupBy("fold").agg(
+        F.count_if(F.col("label") == 1).alias("n_yes"), F.count_if(F.col("label") == 0).alias("n_no"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(budget.folds - 1)))
+    return grid.withColumn("fold", every).join(folds, "fold")
+
+
+@query
+def training_rows(spark, sf_dir):
+    """Class and side sizes where later copies turn targets round or lack them: the first record counts."""
+    copies = subscribers.subscribers_with_retold_targets(spark, sf_dir)
+    _, sides = train.training_rows(copies, sequence="load_seq")
+    return sides.groupBy("label", "is_test").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def model_invariants(spark, sf_dir):
+    """(check_name, n): what must hold of any fit, counted: rows, and violations (0)."""
+    data = _training(spark, sf_dir, smote_rows=False)
+    total = float(data.train.agg(F.sum("weight")).first()[0])
+    linear, trees = train.logistic(total).fit(data.train), train.gbt().fit(data.train)
+    rows = train.scored_rows(linear, data.test, train.LOGISTIC).unionByName(
+        train.scored_rows(trees, data.test, train.GBT))
+    parts = [rows.groupBy("model").agg(F.count(F.lit(1)).alias("n")).select(
+        F.concat(F.lit("holdout rows of "), "model").alias("check_name"), "n"),
+        rows.agg(F.count_if(~F.col("score").between(0, 1) | ((F.col("score") > 0.5) != (F.col("prediction") == 1))).alias("n"))
+        .select(F.lit("scores off").alias("check_name"), "n")]
+    # At the optimum the weighted residuals balance the penalty, feature by feature.
+    residual = F.col("weight") * (F.col("p") - F.col("label")) / total
+    moved = linear.transform(data.train).withColumn("p", vector_to_array("probability")[1]) \
+        .select(residual.alias("r"), vector_to_array("features").alias("x"))
+    at = moved.select("r", F.posexplode("x").alias("i", "v")).groupBy("i").agg(F.sum(F.col("r") * F.col("v")).alias("g"))
+    pull = spark.createDataFrame([(i, float(w) / total) for i, w in enumerate(linear.coefficients)], "i int, pull double")
+    parts.append(at.join(pull, "i").agg(F.count_if(F.abs(F.col("g") + F.col("pull")) > 1e-3).alias("n"))
+                 .select(F.lit("gradient off").alias("check_name"), "n"))
+    for name, model in ((train.LOGISTIC, linear), (train.GBT, trees)):
+        auc = evaluate.roc_auc(rows.where(F.col("model") == name).select("label", "prediction", "score"))
+        parts.append(auc.agg(F.count_if(F.col("roc_auc") < 0.9).alias("n"))
+                     .select(F.lit(f"auc of {name} below 0.9").alias("check_name"), "n"))
+        weights = train.native_importance(model, data.prep.features, spark)
+        parts.append(weights.agg(F.count(F.lit(1)).alias("n")).select(F.lit(f"features of {name}").alias("check_name"), "n"))
+        parts.append(weights.agg(F.count_if(F.col("importance") < 0).alias("n")).select(
+            F.lit(f"negative importances of {name}").alias("check_name"), "n"))
+    parts.append(train.native_importance(trees, data.prep.features, spark).agg(
+        (F.abs(F.sum("importance") - 1) > 1e-9).cast("bigint").alias("n")).select(
+        F.lit("importances off one").alias("check_name"), "n"))
+    tables = jobs.evaluation_tables(trees, train.GBT, data.test, data.prep.features)
+    parts.append(tables["confusion_matrix"].agg(F.sum("n").alias("n")).select(F.lit("rows of the matrix").alias("check_name"), "n"))
+    parts.append(tables["permutation_importance"].agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit("permuted features").alias("check_name"), "n"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query
+def kmeans_invariants(spark, sf_dir):
+    """Rows, segments in use, and rows that lie nearer to another centre than to their own (0)."""
+    df = scratch.materialize(base.scored(spark, sf_dir).select(cfg.ID, *cfg.SEGMENT_FEATURES), "scored")
+    fitted = segment.Segmentation.fit(df)
+    scaled = encode.scale(fitted.assign(df).select(cfg.ID, "cluster_id", *cfg.SEGMENT_FEATURES), fitted.scaling)
+    distance = lambda c: sum((F.col(f) - F.lit(float(x))) ** 2 for f, x in zip(cfg.SEGMENT_FEATURES, c))
+    each = [distance(c) for c in fitted.centers]
+    own = F.element_at(F.array(*each), F.col("cluster_id") + 1)
+    return scaled.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("cluster_id").alias("n_clusters"),
+                      F.count_if(own > F.least(*each) + 1e-9).alias("n_off"))
+
+
+@query
+def score_without_ids(spark, sf_dir):
+    """Records scored by whether they have an id: anonymous ones are as many as came in."""
+    raw = base.raw(spark, sf_dir)
+    half = raw.withColumn(cfg.ID, F.when(F.col("gender") == "Male", F.col(cfg.ID)))
+    scored = score.predict_batch(features.engineer(clean.fit_clean(half)[1]))
+    return scored.groupBy(F.col(cfg.ID).isNull().cast("int").alias("anonymous")).agg(
+        F.count(F.lit(1)).alias("n"), F.count("churn_probability").alias("n_scored"))
+
+
+@query
+def validation_report(spark, sf_dir):
+    return rounded(validate.validation_report(base.raw(spark, sf_dir)))
 
 
 @query
 def tuning_results(spark, sf_dir):
-    data = _training(spark, sf_dir)
-    tuned = train.tune(data.train, train.Budget())
+    budget = _query_budget()
+    data = _training(spark, sf_dir, budget=budget)
+    tuned = train.tune(data.train, budget)
     return spark.createDataFrame(
-        [(t.name, str(sorted(s.items())), float(auc)) for t in tuned.values()
-         for s, auc in t.results], "model string, settings string, mean_auc double")
+        [(t.name, str(sorted(s.items())), float(auc), budget.folds, budget.settings, list(budget.trees)) for t in tuned.values()
+         for s, auc in t.results],
+        "model string, settings string, mean_auc double, folds int, sampled_settings int, trees array<int>")
 
 
 @query
@@ -456,8 +555,10 @@ def fit_gbt(spark, sf_dir):
 @query
 def train_job(spark, sf_dir):
     store = RunStore(spark, scratch.scratch_path(spark, "store"))
-    jobs.train_job(spark, base.raw(spark, sf_dir), store, repeats=2, starts=3)
-    return store.read("training_runs").select("model", "metric", "value")
+    budget = _query_budget()
+    jobs.train_job(spark, base.raw(spark, sf_dir), store, budget)
+    searched = {"folds": budget.folds, "sampled_settings": budget.settings, "trees": max(budget.trees)}
+    return store.read("training_runs").select("model", "metric", "value", *[F.lit(v).alias(k) for k, v in searched.items()])
 
 
 # ---- evaluation --------------------------------------------------------------
@@ -493,7 +594,7 @@ def _fitted_gbt(spark, sf_dir):
     prep, engineered = base.preprocessed(spark, sf_dir)
     vectors = train.vectors(prep, engineered)
     labelled = train.with_class_weight(vectors.where("label is not null"))
-    return train.gbt(trees=10).fit(labelled.select("label", "weight", "features")), prep, vectors
+    return train.gbt().fit(labelled.select("label", "weight", "features")), prep, vectors
 
 
 @query
@@ -508,7 +609,7 @@ def evaluation_tables(spark, sf_dir):
     model, prep, vectors = _fitted_gbt(spark, sf_dir)
     tables = jobs.evaluation_tables(
         model, train.GBT, scratch.materialize(vectors.where("label is not null").select(
-            cfg.ID, "label", "features"), "champion-rows"), prep.features, repeats=2)
+            cfg.ID, "label", "features"), "champion-rows"), prep.features)
     parts = [t.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("n_rows"))
              for name, t in tables.items()]
     out = parts[0]
@@ -646,6 +747,14 @@ def current_roles(spark, sf_dir):
     return registry.current_roles(registry.replay(_runs(spark, sf_dir)))
 
 
+@query
+def registry_status(spark, sf_dir):
+    """Each line's roles, stored threshold, number of accepted entries and last ten actions."""
+    runs = _runs(spark, sf_dir)
+    settings = _settings(runs)
+    return rounded(registry.status(registry.replay(runs, settings), settings))
+
+
 @query
 def recent_promotions(spark, sf_dir):
     return rounded(registry.recent_promotions(
@@ -795,15 +904,20 @@ def redact_text(spark, sf_dir):
 
 def _landed(spark, sf_dir):
     path = scratch.scratch_path(spark, "landing")
-    base.raw(spark, sf_dir).repartition(4, cfg.ID).write.parquet(path)
+    base.raw(spark, sf_dir).repartition(cfg.ID).write.parquet(path)
     return path
 
 
+def _files_per_batch(spark):
+    """Arriving files are as many as shuffle partitions; a batch takes what the cores read at once."""
+    return max(1, spark.sparkContext.defaultParallelism)
+
+
 @query
 def stream_score(spark, sf_dir):
     medians = clean.fit_medians(base.raw(spark, sf_dir))
     out, progress = (scratch.scratch_path(spark, n) for n in ("scored", "score-progress"))
-    records = streaming.read_records(spark, _landed(spark, sf_dir), files_per_batch=2)
+    records = streaming.read_records(spark, _landed(spark, sf_dir), files_per_batch=_files_per_batch(spark))
     streaming.score_stream(
         records, streaming.scorecard_predictor(medians), out, progress).awaitTermination()
     got = streaming.read_batches(spark, out)
@@ -813,6 +927,17 @@ def stream_score(spark, sf_dir):
         F.col("challenger_prediction.prediction").alias("challenger_class")))
 
 
+@query
+def stream_quarantine(spark, sf_dir):
+    """Arriving records that break the request contract, and what they break."""
+    medians = clean.fit_medians(base.raw(spark, sf_dir))
+    out, progress, aside = (scratch.scratch_path(spark, n) for n in ("scored", "score-progress", "quarantine"))
+    records = streaming.read_records(spark, _landed(spark, sf_dir), files_per_batch=_files_per_batch(spark))
+    streaming.score_stream(records, streaming.scorecard_predictor(medians), out, progress,
+                           quarantine=aside).awaitTermination()
+    return streaming.read_batches(spark, aside).select(cfg.ID, F.array_join("violations", "; ").alias("violations"))
+
+
 def _event_stream(spark, sf_dir):
     schema = subscribers.table(spark, sf_dir, "events").schema
     return streaming.read_records(spark, sf_dir, schema, pattern="events.parquet")

@@ -6,6 +6,9 @@ floor(x * 1e6 + 0.5) / 1e6.
 
 from __future__ import annotations
 
+import itertools
+import random
+
 from keepwell import config as cfg
 
 SUBSCRIBERS = """
@@ -382,6 +385,12 @@ _PREDICT_COLUMNS = f"""customerID, 'champion_scorecard' AS served_by_model, {m("
  retention_strategy, {m("retention_cost", "retention_cost")}, {m("expected_revenue_saved", "expected_revenue_saved")}, {m("clv_estimate", "clv")}"""
 _SHADOW_COLUMNS = f"""{m("challenger_p", "challenger_probability")}, CAST({_case("challenger_p >= 0.5E0")} AS INT) AS challenger_class"""
 _ROUND_RAW = f"* REPLACE ({m('MonthlyCharges')} AS MonthlyCharges)"
+def _sampled_settings() -> list[dict]:
+    """Fifteen settings of the published grid, drawn with its seed."""
+    grid = [dict(zip(cfg.GBT_GRID, x)) for x in itertools.product(*cfg.GBT_GRID.values())]
+    return random.Random(cfg.SEED).sample(grid, cfg.SEARCH_SETTINGS)
+
+
 _SPLIT = """SELECT customerID, label, row_number() OVER (PARTITION BY label ORDER BY md5(customerID || '|42'), customerID) AS r,
  count(*) OVER (PARTITION BY label) AS n FROM (SELECT customerID, CASE Churn WHEN 'Yes' THEN 1 WHEN 'No' THEN 0 END AS label FROM raw)"""
 
@@ -443,6 +452,15 @@ def oracle_sql() -> dict[str, str]:
     sql["target_distribution"] = _with(SUBSCRIBERS, "SELECT Churn, count(*) AS n FROM raw WHERE Churn IS NOT NULL GROUP BY Churn")
     sql["critical_issues"] = _with(SUBSCRIBERS, f"""SELECT 'Duplicate customer IDs detected' AS issue FROM copies HAVING count(*) > count(DISTINCT customerID)
       UNION ALL SELECT 'Missing values in ' || column_name || ': ' || missing FROM ({_missing('copies')}) WHERE missing > 0 AND column_name <> 'TotalCharges'""")
+    sql["validation_report"] = _with(_NUMBERS, f"""SELECT 'shape' AS section, 'rows' AS name, CAST(count(*) AS DOUBLE) AS value FROM raw
+      UNION ALL SELECT 'shape', 'columns', 21E0
+      UNION ALL SELECT 'missing', column_name, CAST(missing AS DOUBLE) FROM ({_missing('raw')}) WHERE missing > 0
+      UNION ALL SELECT 'duplicates', 'ids', CAST(count(*) - count(DISTINCT customerID) AS DOUBLE) FROM raw
+      UNION ALL SELECT 'duplicates', 'rows', CAST((SELECT count(*) FROM raw) - (SELECT count(*) FROM (SELECT DISTINCT * FROM raw)) AS DOUBLE)
+      UNION ALL SELECT 'dtype', 'TotalCharges', CAST(count(*) AS DOUBLE) FROM raw
+        WHERE TotalCharges IS NOT NULL AND ({parsed('TotalCharges')}) IS NULL HAVING count(*) > 0
+      UNION ALL SELECT 'outliers', column_name, CAST(outlier_count AS DOUBLE) FROM ({_OUTLIERS})
+      UNION ALL SELECT 'target', Churn, CAST(count(*) AS DOUBLE) FROM raw WHERE Churn IS NOT NULL GROUP BY Churn""")
     sql["describe_numeric"] = _with(_NUMBERS, _DESCRIBE)
     texts = [c for c in cfg.RAW_COLUMNS if c not in ("SeniorCitizen", "tenure", "MonthlyCharges")]
     sql["describe_text"] = _with(SUBSCRIBERS, " UNION ALL ".join(
@@ -480,6 +498,25 @@ def oracle_sql() -> dict[str, str]:
     sql["model_matrix"] = _with(_MATRIX, f"SELECT customerID, label, {', '.join(m(q(c), c) for c in FEATURES)} FROM matrix")
     # split and resample
     sql["stratified_split"] = _with(SUBSCRIBERS, f"SELECT customerID, label, CAST(r <= ceil(0.2E0 * n) AS INT) AS is_test FROM ({_SPLIT})")
+    sql["training_rows"] = _with(SUBSCRIBERS, f"SELECT label, CAST(r <= ceil(0.2E0 * n) AS INT) AS is_test, count(*) AS n FROM ({_SPLIT}) WHERE label IS NOT NULL GROUP BY ALL")
+    number = lambda x: "NULL" if x is None else str(x)
+    settings = [("logistic_regression", i, c, None, None, None, None) for i, c in enumerate(cfg.LOGISTIC_C)]
+    settings += [("gbt", i, None, *s.values()) for i, s in enumerate(_sampled_settings())]
+    values = ", ".join(f"('{name}', {', '.join(map(number, rest))})" for name, *rest in settings)
+    sql["tuning_grid"] = _with(SUBSCRIBERS, f"""SELECT fold, model, CAST(setting AS INT) AS setting, CAST(c AS DOUBLE) AS c, CAST(n_estimators AS INT) AS n_estimators,
+      CAST(max_depth AS INT) AS max_depth, CAST(learning_rate AS DOUBLE) AS learning_rate, CAST(subsample AS DOUBLE) AS subsample, n_yes, n_no
+      FROM (VALUES {values}) AS g(model, setting, c, n_estimators, max_depth, learning_rate, subsample),
+      (SELECT CAST((r - 1) % 5 AS INT) AS fold, count(*) FILTER (WHERE label = 1) AS n_yes, count(*) FILTER (WHERE label = 0) AS n_no
+       FROM ({_SPLIT}) WHERE label IS NOT NULL GROUP BY 1)""")
+    held = f"SELECT count(*) FROM ({_SPLIT}) WHERE label IS NOT NULL AND r <= ceil(0.2E0 * n)"
+    checks = [("holdout rows of logistic_regression", f"({held})"), ("holdout rows of gbt", f"({held})"), ("rows of the matrix", f"({held})"),
+              *[(c, "0") for c in ("scores off", "gradient off", "auc of logistic_regression below 0.9", "auc of gbt below 0.9", "importances off one",
+                                   "negative importances of logistic_regression", "negative importances of gbt")],
+              *[(c, "46") for c in ("features of logistic_regression", "features of gbt", "permuted features")]]
+    sql["model_invariants"] = _with(SUBSCRIBERS, " UNION ALL ".join(f"SELECT '{c}' AS check_name, CAST({n} AS BIGINT) AS n" for c, n in checks))
+    sql["kmeans_invariants"] = _with(SUBSCRIBERS, "SELECT count(*) AS n_rows, CAST(5 AS BIGINT) AS n_clusters, CAST(0 AS BIGINT) AS n_off FROM raw")
+    sql["score_without_ids"] = _with(SUBSCRIBERS, "SELECT CAST(gender = 'Female' AS INT) AS anonymous, count(*) AS n, count(*) AS n_scored FROM raw GROUP BY 1")
+    sql["stream_quarantine"] = _with(SUBSCRIBERS, f"SELECT * FROM (SELECT customerID, concat_ws('; ', {', '.join(_RULES)}) AS violations FROM raw) WHERE violations <> ''")
     sql["stratified_folds"] = _with(SUBSCRIBERS, f"SELECT customerID, label, CAST((r - 1) % 5 AS INT) AS fold FROM ({_SPLIT})")
     sql["background_sample"] = _with(SCORED, f"SELECT customerID, {m('churn_probability', 'churn_probability')} FROM scored ORDER BY md5(customerID || '|42'), customerID LIMIT 200")
     squares = " + ".join(f"(a.{q(c)} - b.{q(c)}) * (a.{q(c)} - b.{q(c)})" for c in FEATURES)
@@ -542,6 +579,13 @@ def oracle_sql() -> dict[str, str]:
     sql["current_roles"] = _with(REPLAY, """SELECT line, new_champion AS champion, CASE new_champion WHEN 'gbt' THEN 'logistic_regression' ELSE 'gbt' END AS challenger,
       seq, action AS last_action FROM history WHERE action <> 'rejected' QUALIFY row_number() OVER (PARTITION BY line ORDER BY seq DESC) = 1""", recursive=True)
     sql["recent_promotions"] = _with(REPLAY, f"SELECT {history} FROM (SELECT * FROM history WHERE action <> 'rejected' QUALIFY row_number() OVER (PARTITION BY line ORDER BY seq DESC) <= 10)", recursive=True)
+    stored = REPLAY.replace("0.005E0", "((r.line % 8 + 1) / 1000E0)")
+    sql["registry_status"] = _with(stored, f"""SELECT line, new_champion AS champion, CASE new_champion WHEN 'gbt' THEN 'logistic_regression' ELSE 'gbt' END AS challenger,
+      seq, action AS last_action, {m('(line % 8 + 1) / 1000E0', 'threshold')}, n_entries, recent_actions
+      FROM (SELECT * FROM history WHERE action <> 'rejected' QUALIFY row_number() OVER (PARTITION BY line ORDER BY seq DESC) = 1)
+      JOIN (SELECT line, count(*) AS n_entries FROM history WHERE action <> 'rejected' GROUP BY line) USING (line)
+      JOIN (SELECT line, string_agg(action, ',' ORDER BY seq) AS recent_actions FROM (
+        SELECT * FROM history WHERE action <> 'rejected' QUALIFY row_number() OVER (PARTITION BY line ORDER BY seq DESC) <= 10) GROUP BY line) USING (line)""", recursive=True)
     # explanations
     sql["linear_contributions"] = _with(CONTRIBUTED, f"SELECT customerID, feature, {m('shap_value', 'shap_value')} FROM contributed")
     sql["top_contributors"] = _with(CONTRIBUTED, f"SELECT customerID, CAST(rank AS INT) AS rank, feature, {m('shap_value', 'shap_value')} FROM ranked WHERE rank <= 5")

@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keepwell import config as cfg
-from keepwell.operators import registry, score, train
+from keepwell.operators import registry, reports, score, train
 from keepwell.operators.encode import Preprocessing
 from keepwell.operators.explain import CONTRIBUTIONS, with_explanation
 from keepwell.operators.segment import Segmentation
+from keepwell.operators.validate import split_by_contract
 from keepwell.plans.train_job import contributions, latest_decision, serving_model
 from keepwell.sources.runs import RunStore
 from keepwell.sources.subscribers import path_exists
@@ -51,18 +52,24 @@ class Predictor:
             if path_exists(store.spark, segment_path) else None,
             {r["feature"]: r["mean"] for r in store.read("background").collect()})
 
-    def scored(self, raw: DataFrame) -> DataFrame:
+    def scored(self, raw: DataFrame, sequence: str | None = None) -> DataFrame:
         """Scaled features, their vector, `_row` (the engineered row) and the probability."""
-        vectors = train.vectors(self.prep, self.prep.engineered(raw))
+        vectors = train.vectors(self.prep, self.prep.engineered(raw, sequence))
         return score.with_model(vectors, self.champion)
 
-    def predict_proba(self, raw: DataFrame) -> DataFrame:
-        return self.scored(raw).select(cfg.ID, "churn_probability")
+    def predict_proba(self, raw: DataFrame, sequence: str | None = None) -> DataFrame:
+        return self.scored(raw, sequence).select(cfg.ID, "churn_probability")
+
+    def predict_requests(self, raw: DataFrame, include_explanation: bool = False, shadow: bool = False,
+                         sequence: str | None = None) -> tuple[DataFrame, DataFrame]:
+        """(predictions of the records that keep the request contract, the others with their violations)."""
+        accepted, quarantined = split_by_contract(raw)
+        return self.predict_batch(accepted, include_explanation, shadow, sequence), quarantined
 
     def predict_batch(self, raw: DataFrame, include_explanation: bool = False,
-                      shadow: bool = False) -> DataFrame:
-        """One record per customer; features are computed once for all parts."""
-        rows = self.scored(raw).withColumn("clv_estimate", F.col("_row.clv_estimate"))
+                      shadow: bool = False, sequence: str | None = None) -> DataFrame:
+        """One record per customer and each anonymous record; features are computed once for all parts."""
+        rows = self.scored(raw, sequence).withColumn("clv_estimate", F.col("_row.clv_estimate"))
         carried = [cfg.ID, "churn_probability", "clv_estimate"]
         if shadow and self.challenger is not None:
             rows = score.with_model(rows, self.challenger, "_challenger_p")
@@ -81,6 +88,10 @@ class Predictor:
             columns.append(score.shadow(self.challenger_name, F.col("_challenger_p")))
         return acted.select(*columns)
 
+    def kpis(self, raw: DataFrame, sequence: str | None = None) -> DataFrame:
+        """The dashboard's figures of raw records: what they lack, the model and the features supply."""
+        return reports.executive_kpis(self.scored(raw, sequence).select("_row.*", "churn_probability"))
+
     def get_segment(self, raw: DataFrame) -> DataFrame | None:
         """Engineered rows with probability, cluster and segment; None without segments."""
         if self.segments is None:

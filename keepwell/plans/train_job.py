@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,15 +70,27 @@ def checksum(metadata: DataFrame) -> DataFrame:
 def train_job(spark: SparkSession, raw: DataFrame, store: RunStore,
               budget: train.Budget | None = None, fit_scope: str = "train",
               repeats: int = cfg.PERMUTATION_REPEATS, starts: int = cfg.KMEANS_STARTS,
-              threshold: float = cfg.PROMOTION_THRESHOLD) -> str:
-    """Train, decide, write every output under a new run and publish it."""
+              threshold: float | None = None, sequence: str | None = None,
+              fail_on_critical: bool = False) -> str:
+    """Train, decide, write every output under a new run and publish it.
+
+    `sequence` names the column of load order, by which a customer's first record
+    is chosen.  Without `threshold` the store's own promotion threshold holds, then
+    the configured one.  The validation report is an output of the run; with
+    `fail_on_critical` its critical issues end the run before anything is trained.
+    """
     budget = budget or train.Budget()
     run_id = train.utc_stamp()
+    threshold = promotion_threshold(store) if threshold is None else threshold
 
     def job(s: RunStore, run: str) -> None:
-        issues = [r["issue"] for r in validate.critical_issues(raw).collect()]
-        shape = validate.table_shape(raw).first()
-        data = train.prepare_training(raw, budget, fit_scope)
+        records = raw.drop(sequence) if sequence else raw
+        issues = [r["issue"] for r in validate.critical_issues(records).collect()]
+        validate.validation_report(records).write.parquet(s.path(run, "validation_report"))
+        if fail_on_critical and issues:
+            raise ValueError("Data validation failed: " + "; ".join(issues))
+        shape = validate.table_shape(records).first()
+        data = train.prepare_training(raw, budget, fit_scope, sequence=sequence)
         features = data.prep.features
         tuned = train.tune(data.train, budget)
         comparison = materialize(train.holdout_comparison(tuned, data.test), "comparison")
@@ -90,7 +103,9 @@ def train_job(spark: SparkSession, raw: DataFrame, store: RunStore,
         spark.createDataFrame(
             [(last["seq"] + 1 if last else 1, decision["action"],
               decision["previous_champion"], decision["champion"], decision["challenger"],
-              decision["champion_metric"], decision["challenger_metric"], decision["delta"])],
+              decision["champion_metric"], decision["challenger_metric"], decision["delta"],
+              datetime.now(timezone.utc), run, threshold, metrics[decision["champion"]],
+              metrics[decision["challenger"]])],
             HISTORY_SCHEMA).coalesce(1).write.parquet(s.path(run, "promotion_history"))
 
         for name, table in evaluation_tables(
@@ -101,7 +116,10 @@ def train_job(spark: SparkSession, raw: DataFrame, store: RunStore,
         data.prep.save(spark, s.path(run, "preprocessing"))
         write_csv(comparison.coalesce(1), s.path(run, "model_comparison"))
 
-        vectors = train.vectors(data.prep, data.prep.engineered(raw))
+        # Read three times below: scores, background means, contributions.
+        vectors = materialize(
+            train.vectors(data.prep, data.prep.engineered(raw, sequence)).select(
+                cfg.ID, "label", "features", "_row", *features), "vectors")
         probable = materialize(
             score.with_model(vectors, champion.model).select("_row.*", "churn_probability"),
             "scored")
@@ -135,19 +153,76 @@ def train_job(spark: SparkSession, raw: DataFrame, store: RunStore,
 
 
 HISTORY_SCHEMA = """seq bigint, action string, previous_champion string, new_champion string,
-  challenger string, champion_metric double, challenger_metric double, delta double"""
+  challenger string, champion_metric double, challenger_metric double, delta double,
+  decided_at timestamp, run_id string, threshold double,
+  new_champion_metrics map<string,double>, challenger_metrics map<string,double>"""
+SETTINGS_SCHEMA = "name string, value double, set_at timestamp"
+#: Folders of history entries that belong to no run.
+EXTRA_ENTRIES = ("rollbacks", "imported")
 
 
 def promotion_history(store: RunStore) -> DataFrame:
-    """Decisions of all published runs, and rollbacks: every entry is one row."""
-    paths = [store.path(r["run_id"], "promotion_history")
-             for r in store.published().select("run_id").collect()]
-    extra = f"{store.base}/rollbacks"
-    if path_exists(store.spark, extra):
-        paths.append(extra)
-    if not paths:
-        return store.spark.createDataFrame([], HISTORY_SCHEMA)
-    return store.spark.read.schema(HISTORY_SCHEMA).parquet(*paths)
+    """Decisions of all published runs, rollbacks and imported entries: every entry is one row.
+
+    One scan over the runs' history files, joined with the pointer table.
+    """
+    spark = store.spark
+    history = spark.createDataFrame([], HISTORY_SCHEMA)
+    if store.current() is not None:
+        of_runs = spark.read.schema(HISTORY_SCHEMA).parquet(f"{store.base}/runs/*/promotion_history")
+        history = history.unionByName(of_runs.join(store.published().select("run_id").distinct(),
+                                                   "run_id", "left_semi").select(history.columns))
+    for name in EXTRA_ENTRIES:
+        if path_exists(spark, f"{store.base}/{name}"):
+            history = history.unionByName(
+                spark.read.schema(HISTORY_SCHEMA).parquet(f"{store.base}/{name}"))
+    return history
+
+
+def set_promotion_threshold(store: RunStore, value: float) -> None:
+    """Store the threshold that later runs decide by."""
+    store.spark.createDataFrame([("promotion_threshold", value, datetime.now(timezone.utc))], SETTINGS_SCHEMA) \
+        .coalesce(1).write.mode("append").parquet(f"{store.base}/settings")
+
+
+def promotion_threshold(store: RunStore) -> float:
+    """The stored threshold, else the configured one."""
+    if not path_exists(store.spark, f"{store.base}/settings"):
+        return cfg.PROMOTION_THRESHOLD
+    row = store.spark.read.schema(SETTINGS_SCHEMA).parquet(f"{store.base}/settings") \
+        .where("name = 'promotion_threshold'").orderBy(F.desc("set_at")).limit(1).collect()
+    return row[0]["value"] if row else cfg.PROMOTION_THRESHOLD
+
+
+def registry_status(store: RunStore) -> DataFrame:
+    """One row: roles, their metrics, times, the threshold in force, and the last ten entries, oldest first."""
+    history = promotion_history(store)
+    last = history.orderBy(F.desc("seq")).limit(1)
+    changed = history.where("action IN ('initial', 'promote', 'manual_rollback')") \
+        .agg(F.max("decided_at").alias("promoted_at"))
+    trained = history.where("run_id IS NOT NULL").agg(F.max("decided_at").alias("trained_at"))
+    newest = history.orderBy(F.desc("seq")).limit(10).agg(F.sort_array(F.collect_list(
+        F.struct("seq", "decided_at", "action", "previous_champion", "new_champion", "delta"))).alias("recent"))
+    # Four frames of one row each.
+    return last.select(F.col("new_champion").alias("champion"), "challenger", F.col("new_champion_metrics").alias("champion_metrics"),
+                       "challenger_metrics", F.lit(promotion_threshold(store)).alias("threshold")) \
+        .withColumn("_one", F.lit(1)).join(changed.withColumn("_one", F.lit(1)), "_one") \
+        .join(trained.withColumn("_one", F.lit(1)), "_one").join(newest.withColumn("_one", F.lit(1)), "_one").drop("_one")
+
+
+def import_legacy_registry(store: RunStore, path: str) -> int:
+    """Take the entries and the threshold of an old registry into an empty store; returns the number of entries."""
+    if latest_decision(store) is not None:
+        raise ValueError("the store has a history already")
+    history, threshold = read_legacy_registry(store.spark, path)
+    rival = F.when(F.col("new_champion") != F.col("previous_champion"), F.col("previous_champion"))
+    entries = history.select("seq", "action", "previous_champion", "new_champion", rival.alias("challenger"), "champion_metric",
+                             "challenger_metric", "delta", "decided_at", F.lit(None).cast("string").alias("run_id"),
+                             F.lit(threshold).alias("threshold"),
+                             *[F.lit(None).cast("map<string,double>").alias(c) for c in ("new_champion_metrics", "challenger_metrics")])
+    entries.coalesce(1).write.mode("append").parquet(f"{store.base}/imported")
+    set_promotion_threshold(store, threshold)
+    return history.count()
 
 
 def latest_decision(store: RunStore):
@@ -164,11 +239,13 @@ def rollback(store: RunStore) -> dict:
         F.col("metric") == cfg.PRIMARY_METRIC).collect()}
     champion, challenger = last["challenger"], last["new_champion"]
     entry = (last["seq"] + 1, "manual_rollback", last["new_champion"], champion, challenger,
-             metric[champion], metric[challenger], metric[challenger] - metric[champion])
+             metric[champion], metric[challenger], metric[challenger] - metric[champion],
+             datetime.now(timezone.utc), None, last["threshold"], last["challenger_metrics"],
+             last["new_champion_metrics"])
     store.spark.createDataFrame([entry], HISTORY_SCHEMA).coalesce(1) \
         .write.mode("append").parquet(f"{store.base}/rollbacks")
     return {"action": "manual_rollback", "champion": champion, "challenger": challenger,
-            "delta": entry[-1]}
+            "delta": entry[7]}
 
 
 def serving_model(store: RunStore) -> tuple[str, str]:

@@ -95,6 +95,14 @@ def subscribers_with_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.unionByName(again).drop("_k")
 
 
+def subscribers_with_retold_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subscribers plus later copies of every fiftieth one, whose target is turned round or missing."""
+    base = _keyed_subscribers(spark, sf_dir)
+    other = F.when(F.col("_k") % 100 == 0, F.when(F.col(cfg.TARGET) == "Yes", "No").otherwise("Yes"))
+    again = base.where("_k % 50 = 0").withColumn("load_seq", F.lit(2)).withColumn(cfg.TARGET, other)
+    return base.withColumn("load_seq", F.lit(1)).unionByName(again).drop("_k")
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.options(**CSV_OPTIONS).csv(path)
 

@@ -19,6 +19,7 @@ from keepwell.operators.clean import clean
 from keepwell.operators.features import engineer
 from keepwell.operators.redact import redact_log
 from keepwell.operators.score import predict_batch
+from keepwell.operators.validate import split_by_contract
 from keepwell.sources.events import log_lines
 from keepwell.sources.subscribers import RECORD_SCHEMA
 
@@ -35,32 +36,50 @@ def read_records(spark: SparkSession, folder: str, schema: T.StructType = RECORD
     return reader.parquet(folder)
 
 
-def _per_batch(stream: DataFrame, work: Callable[[DataFrame], DataFrame], out: str,
-               checkpoint: str, mode: str = "append") -> StreamingQuery:
+def _quarantining(work: Callable[[DataFrame], DataFrame], quarantine: str) -> Callable:
+    """`work` on the records that keep the request contract; the others are written aside, by batch."""
+    def accepted(batch: DataFrame, number: int) -> DataFrame:
+        good, bad = split_by_contract(batch)
+        bad.write.mode("overwrite").parquet(f"{quarantine}/batch={number}")
+        return work(good)
+
+    return accepted
+
+
+def _per_batch(stream: DataFrame, work: Callable[..., DataFrame], out: str,
+               checkpoint: str, mode: str = "append", numbered: bool = False) -> StreamingQuery:
     def write(batch: DataFrame, number: int) -> None:
-        work(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        result = work(batch, number) if numbered else work(batch)
+        result.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return stream.writeStream.outputMode(mode).foreachBatch(write) \
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def scorecard_predictor(medians: dict[str, float]) -> Callable[[DataFrame], DataFrame]:
+def scorecard_predictor(medians: dict[str, float], sequence: str | None = None) \
+        -> Callable[[DataFrame], DataFrame]:
     """Prediction records of raw rows under fitted medians, both scorecards."""
     return lambda batch: predict_batch(
-        engineer(clean(batch, medians)), challenger=cfg.CHALLENGER)
+        engineer(clean(batch, medians, sequence)), challenger=cfg.CHALLENGER)
 
 
 def score_stream(records: DataFrame, predict: Callable[[DataFrame], DataFrame], out: str,
                  checkpoint: str, event_time: str | None = None,
-                 watermark: str = WATERMARK) -> StreamingQuery:
+                 watermark: str = WATERMARK, quarantine: str | None = None) -> StreamingQuery:
     """Prediction records of each arriving batch, by any predictor of raw rows.
 
     Repeated ids are dropped within a batch; with an event-time column also
-    across batches, as long as the watermark remembers them.
+    across batches, as long as the watermark remembers them.  Anonymous records
+    are all scored.  With a `quarantine` folder, records that break the request
+    contract go there with their violations instead of being scored.
     """
     if event_time:
-        records = records.withWatermark(event_time, watermark) \
-            .dropDuplicatesWithinWatermark([cfg.ID]).drop(event_time)
+        timed = records.withWatermark(event_time, watermark)
+        # An anonymous record is nobody's repetition: it gets a key of its own.
+        records = timed.withColumn("_key", F.coalesce(F.col(cfg.ID), F.uuid())) \
+            .dropDuplicatesWithinWatermark(["_key"]).drop(event_time, "_key")
+    if quarantine:
+        return _per_batch(records, _quarantining(predict, quarantine), out, checkpoint, numbered=True)
     return _per_batch(records, predict, out, checkpoint)
 
 

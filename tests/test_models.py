@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from keepwell import config as cfg
 from keepwell.functions.ordered import RANGE
-from keepwell.operators import evaluate, explain, registry, sampling, smote, train
+from keepwell.operators import evaluate, explain, registry, reports, sampling, smote, train
 from keepwell.plans import train_job as jobs
 from keepwell.plans.serve import Predictor
 from keepwell.sources import scratch, subscribers
@@ -234,7 +234,7 @@ def test_split_sizes_and_folds(spark):
 def test_training_job_end_to_end(spark, sf_dir):
     raw = subscribers.subscribers(spark, sf_dir.replace("sf0.001", "sf0.01"))
     store = RunStore(spark, scratch.scratch_path(spark, "store"))
-    budget = train.Budget(folds=2, settings=1, max_trees=5)
+    budget = train.Budget(folds=2, settings=1, trees=(5,))
     run = jobs.train_job(spark, raw, store, budget, repeats=1, starts=2)
     assert store.current() == run
     meta = jobs.read_metadata(store, run).first()
@@ -264,6 +264,27 @@ def test_training_job_end_to_end(spark, sf_dir):
     segments = predictor.get_segment(raw)
     assert segments.where("segment is not null").count() == 1500
 
+    # Requests: anonymous records are scored, broken ones set aside with their reasons.
+    asked = raw.limit(40).withColumn(cfg.ID, F.lit(None).cast("string")).fillna({"SeniorCitizen": 0}) \
+        .withColumn("TotalCharges", F.lit("10.5"))
+    assert predictor.predict_batch(asked).count() == 40
+    broken = asked.limit(5).withColumn("tenure", F.lit(-5)).withColumn("MonthlyCharges", F.lit(-1.0))
+    good, aside = predictor.predict_requests(asked.unionByName(broken))
+    assert good.count() == 40 and [sorted(r["violations"]) for r in aside.collect()] == [
+        ["MonthlyCharges below 0", "tenure below 0"]] * 5
+    # The dashboard's figures of raw records are those of the scored table.
+    assert predictor.kpis(raw).first() == pytest.approx(reports.executive_kpis(processed).first())
+    # The validation report is an output of the run; critical issues can end a run.
+    report = {(r["section"], r["name"]): r["value"] for r in store.read("validation_report").collect()}
+    assert report["shape", "rows"] == 1500 and report["duplicates", "ids"] == 0
+    with pytest.raises(ValueError, match="Data validation failed"):
+        jobs.train_job(spark, raw, store, budget, repeats=1, starts=1, fail_on_critical=True)
+    assert store.current() == run and jobs.promotion_history(store).count() == 1
+    status = jobs.registry_status(store).first()
+    assert status["champion"] == name and status["trained_at"] == status["promoted_at"] is not None
+    assert status["champion_metrics"]["roc_auc"] > 0.9 and len(status["recent"]) == 1
+    assert status["threshold"] == cfg.PROMOTION_THRESHOLD
+
     # A rollback swaps the roles and the served model follows.
     swap = jobs.rollback(store)
     assert swap["champion"] == predictor.challenger_name
@@ -288,3 +309,40 @@ def test_legacy_registry(spark, tmp_path):
        "delta": -0.1}]}""")
     history, threshold = jobs.read_legacy_registry(spark, str(path))
     assert threshold == 0.02 and history.first()["new_champion"] == "a"
+    store = RunStore(spark, scratch.scratch_path(spark, "old"))
+    assert jobs.import_legacy_registry(store, str(path)) == 1
+    entry = jobs.promotion_history(store).first()
+    assert entry["action"] == "initial" and entry["decided_at"] is not None and entry["run_id"] is None
+    assert jobs.promotion_threshold(store) == 0.02 and jobs.registry_status(store).first()["champion"] == "a"
+    with pytest.raises(ValueError, match="history already"):
+        jobs.import_legacy_registry(store, str(path))
+
+
+def test_stored_threshold_decides(spark):
+    metrics = {"logistic_regression": {"roc_auc": 0.83, "recall": 0.75}, "gbt": {"roc_auc": 0.84, "recall": 0.75}}
+    store = RunStore(spark, scratch.scratch_path(spark, "settings"))
+    assert jobs.promotion_threshold(store) == cfg.PROMOTION_THRESHOLD
+    assert registry.decide("logistic_regression", metrics, jobs.promotion_threshold(store))["action"] == "promote"
+    jobs.set_promotion_threshold(store, 0.5)
+    jobs.set_promotion_threshold(store, 0.02)
+    assert registry.decide("logistic_regression", metrics, jobs.promotion_threshold(store))["action"] == "retain"
+
+
+def test_training_takes_each_customer_once(spark):
+    """Copies with another target or none neither take customers out of training nor move them."""
+    rows = [(f"c{i:03d}", "Yes" if i % 6 == 0 else "No", 1) for i in range(150)]
+    later = [(c, None if i % 2 else "No", 2) for i, (c, t, _) in enumerate(rows) if t == "Yes"]
+    columns = f"{cfg.ID} string, {cfg.TARGET} string, load_seq int"
+    want = {(0, 0): 100, (0, 1): 25, (1, 0): 20, (1, 1): 5}
+    for sequence in ("load_seq", None):
+        given = rows + (later if sequence else [x for x in later if x[1] is None])
+        df = spark.createDataFrame(given, columns)
+        _, sides = train.training_rows(df if sequence else df.drop("load_seq"), sequence)
+        assert {(r["label"], r["is_test"]): r["count"] for r in sides.groupBy("label", "is_test").count().collect()} == want
+
+
+def test_the_default_search_is_the_published_one():
+    budget = train.Budget()
+    grid = train.sampled_grid(budget)
+    assert budget.folds == 5 and len(grid) == 15 and len({str(s) for s in grid}) == 15
+    assert {s["n_estimators"] for s in grid} == {100, 200, 300}

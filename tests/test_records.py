@@ -72,13 +72,21 @@ def test_numbers_that_only_some_casts_take_are_bad(spark):
     assert got == [None, None, None, None, 7.0, -25.0, None, None, None]
 
 
-def test_keep_first_follows_the_sequence_and_joins_null_ids(spark):
+def test_keep_first_follows_the_sequence_and_keeps_null_ids(spark):
     df = spark.createDataFrame(
         [("A", 2, 9.0), ("A", 1, 1.0), (None, 1, 5.0), (None, 3, 6.0), ("B", 1, 2.0)],
         "customerID string, load_seq int, MonthlyCharges double")
-    got = {r["customerID"]: r["MonthlyCharges"]
-           for r in clean.keep_first(df, sequence="load_seq").collect()}
-    assert got == {"A": 1.0, None: 5.0, "B": 2.0}
+    got = [(r["customerID"], r["load_seq"], r["MonthlyCharges"])
+           for r in clean.keep_first(df, sequence="load_seq").collect()]
+    assert sorted(got, key=str) == sorted(
+        [("A", 1, 1.0), (None, 1, 5.0), (None, 3, 6.0), ("B", 1, 2.0)], key=str)
+
+
+def test_a_copy_without_a_target_loses_without_a_sequence(spark):
+    df = spark.createDataFrame([("A", None, 1.0), ("A", "Yes", 2.0), ("B", "No", 3.0)],
+                               "customerID string, Churn string, MonthlyCharges double")
+    got = {r["customerID"]: r["Churn"] for r in clean.keep_first(df).collect()}
+    assert got == {"A": "Yes", "B": "No"}
 
 
 def test_missing_columns_are_tolerated(spark):
