@@ -58,10 +58,12 @@ NUMERIC = re.compile(r"""
     (?P<email>(?<![\w.+-])[\w.+-]*\w@(?:[\w-]+\.)+[^\W\d_]{2,})
   | (?P<secret>\b(?:[0-9a-f]{32,}|[0-9A-F]{32,})\b | \b(?:AKIA[0-9A-Z]{16}|gh[pousr]_\w{36,}|sk-\w{20,})\b
              | (?<=["'])(?=[^"'\s]*\d)(?=[^"'\s]*[A-Za-z])[A-Za-z0-9+/_=-]{20,}(?=["']))
+  | \b(?i:password|passwd|pwd|passphrase|secret|token|credential|api[_-]?key|access[_-]?key|auth[_-]?key)s?\s*[=:]\s*["']?
+      (?P<assigned>(?=[^\s"'<>,;]*\d)[^\s"'<>,;]{6,})
   | (?P<ip>(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w.]*\d))
   | (?P<iban>\b[A-Z]{2}\d{2}(?:\ ?[A-Z0-9]{4}){2,7}(?:\ ?[A-Z0-9]{1,3})?\b)
   | (?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))
-  | (?P<card>(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-]))
+  | (?P<card>(?<![\w.+-])(?:\d{13,19} | \d{4}(?:[ -]\d{4}){3}(?:[ -]\d{1,3})? | \d{4}[ -]\d{6}[ -]\d{5})(?![\w-]|\.\d))
   | (?P<phone>(?<![\w.+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[.-])\d{3,4}[ .-]\d{3,4}(?!\w)
             | (?<![\w.])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\w))
 """, re.X)
@@ -94,10 +96,11 @@ def entities(text: str | None) -> list[tuple[int, int, str, str]]:
     found = []
     if _DIGIT.search(text):
         for m in NUMERIC.finditer(text):
-            kind = m.lastgroup
-            if kind == "ip" and max(map(int, m[0].split("."))) > 255:
+            kind, own = m.lastgroup, m[m.lastgroup]
+            if kind == "ip" and max(map(int, own.split("."))) > 255:
                 continue
-            found.append((m.start(), m.end(), kind, normal(kind, m[0])))
+            span, kind = m.span(kind), "secret" if kind == "assigned" else kind
+            found.append((*span, kind, normal(kind, own)))
     names = []
     for m in NAMED.finditer(text) if _HINT.search(text) else ():
         gender = TITLES[m["title"]] if m["title"] else GIVEN[m["given"]]
