@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from keepwell.llm.common import ragged, text_batches, text_slices, without, worker_state
 
 #: Words whose tokens a Python worker remembers; beyond that it starts anew.
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 800_000
 #: Words that one recursive query contracts.
 WORDS_A_QUERY = 40_000
 #: Text bytes that are encoded at a time.
@@ -131,7 +131,8 @@ class Codec:
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, blob.splitlines()) if a}
         self.pattern = regex.compile(white_space(pattern))
         self.con = duckdb.connect()
-        for setting in ("threads = 1", "memory_limit = '400MB'", "preserve_insertion_order = true"):
+        for setting in ("threads = 1", "memory_limit = '400MB'", "preserve_insertion_order = true",
+                        "allocator_flush_threshold = '4MB'", "allocator_bulk_deallocation_flush_threshold = '4MB'"):
             self.run(f"SET {setting}")
         self.load("merges", _merge_rows(self.ranks))
         self.load("vocabulary", pa.table({
@@ -246,7 +247,7 @@ def cut_at_spaces(text: str) -> list[str]:
 
 def codec(blob: bytes, pattern: str) -> Codec:
     """The worker's codec of this vocabulary."""
-    state, key = worker_state(), ("bpe", hashlib.sha256(blob).digest(), pattern)
+    state, key = worker_state("bpe"), (hashlib.sha256(blob).digest(), pattern)
     if key not in state:
         state[key] = Codec(blob, pattern)
     return state[key]

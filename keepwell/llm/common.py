@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 from collections.abc import Iterator
 from types import ModuleType
@@ -27,9 +28,20 @@ def text_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(TEXT_BATCH_BYTES))
 
 
-def worker_state() -> dict:
-    """A dict that lives as long as the Python worker; functions sent by value have no lasting globals."""
-    return vars(sys.modules.setdefault("_keepwell_worker", ModuleType("_keepwell_worker")))
+def worker_state(owner: str) -> dict:
+    """What `owner` keeps in this Python worker; functions sent by value have no lasting globals.
+
+    Workers serve one operator after the other.  What another owner has kept is given up first, so that
+    a worker never holds more than one operator's tables; operators without any call this for that.
+    """
+    state = vars(sys.modules.setdefault("_keepwell_worker", ModuleType("_keepwell_worker")))
+    if owner not in state:
+        for other in [k for k in state if not k.startswith("__")]:
+            del state[other]
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        state[owner] = {}
+    return state[owner]
 
 
 def quoted(name: str) -> str:
@@ -85,11 +97,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ascii_lower(column) -> "F.Column":
-    """A-Z in lower case, all else as it is."""
-    return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def saved(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """The frame written to the shared scratch folder and read back, and its path."""
     path = scratch_path(df.sparkSession, name)

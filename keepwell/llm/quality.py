@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keepwell.llm.common import quoted, rows_back, saved, text_batches
+from keepwell.llm.common import quoted, rows_back, saved, text_batches, worker_state
 
 #: Labelled documents that the views are fitted and calibrated on, at most.
 LABELLED_ROWS = 20_000
@@ -223,6 +223,7 @@ def _fit(df: DataFrame, labels: DataFrame, key: str, text: str) -> tuple[Model,
         model.marks_bad, model.marks_good = mark_words(texts, classes[0.0] / sum(classes.values()))
 
     def view(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("quality")
         for batch in batches:
             content, layout, _, _ = _views(batch, model)
             yield pa.RecordBatch.from_arrays(
@@ -342,6 +343,7 @@ def keep_good(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     slim = rows.withColumn("row", F.col("row").withField(quoted(text), F.lit(None).cast("string")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("quality")
         for batch in batches:
             if batch.num_rows:
                 good = pa.array(model.scores(*_views(batch, model))[:, 2] >= KEEP_FROM)

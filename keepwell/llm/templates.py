@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keepwell.llm.common import quoted, ragged, text_batches
+from keepwell.llm.common import quoted, ragged, text_batches, worker_state
 
 WINDOW = 5
 COVERAGE = 0.5
@@ -194,6 +194,7 @@ def hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
     sent = spark.sparkContext.broadcast((np.packbits(field).tobytes(), lengths))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("templates")
         packed, own_lengths = sent.value
         marked = np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
         for batch in batches:

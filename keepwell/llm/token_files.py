@@ -90,10 +90,10 @@ class Encoder:
 
 
 def encoder(blob: str) -> Encoder:
-    state, key = worker_state(), ("tokenizer", blob)
-    if key not in state:
-        state[key] = Encoder(blob)
-    return state[key]
+    state = worker_state("token_files")
+    if blob not in state:
+        state[blob] = Encoder(blob)
+    return state[blob]
 
 
 @dataclass
