@@ -39,22 +39,24 @@ def profile_columns(df: DataFrame, order: str = cfg.ID, samples: int = 3,
                     approximate: bool = False) -> DataFrame:
     """One row per column: type, role, null count, distinct count, first values.
 
-    Distinct values are counted after a partial aggregation of (column, value)
-    pairs.  The first values follow `order`; the rank limit is applied on the
+    Nulls are counted in one aggregation over the columns; only the distinct
+    (column, value) pairs are shuffled.  The first values follow `order`; the rank limit is applied on the
     map side, so each task sends on at most `samples` rows a column.
     """
     kinds = dict(df.dtypes)
     long = _long(df, df.columns, [F.col(f"`{order}`").alias("_seq")])
+    nulls = _per_column(df, {c: F.col(f"`{c}`").isNull() for c in df.columns}, "null_count") \
+        .withColumnRenamed("column_name", "name")
     if approximate:
-        counts = long.groupBy("name").agg(
-            F.count_if(F.col("value").isNull()).alias("null_count"),
-            F.approx_count_distinct("value").alias("unique_count"))
+        one = df.agg(*[F.approx_count_distinct(F.col(f"`{c}`").cast("string")).alias(f"c{i}")
+                       for i, c in enumerate(df.columns)])
+        distinct = one.select(F.explode(F.array(*[
+            F.struct(F.lit(c).alias("name"), F.col(f"c{i}").alias("unique_count"))
+            for i, c in enumerate(df.columns)])).alias("r")).select("r.*")
     else:
-        counts = long.groupBy("name", "value").agg(F.count(F.lit(1)).alias("n")) \
-            .groupBy("name").agg(
-                F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0))
-                .alias("null_count"),
-                F.count("value").alias("unique_count"))
+        distinct = long.where("value is not null").select("name", "value").distinct() \
+            .groupBy("name").agg(F.count(F.lit(1)).alias("unique_count"))
+    counts = nulls.join(distinct, "name", "left")
     rank = F.row_number().over(Window.partitionBy("name").orderBy("_seq", "value"))
     first = long.where("value is not null").withColumn("_rank", rank) \
         .where(F.col("_rank") <= samples) \

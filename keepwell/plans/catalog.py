@@ -203,7 +203,7 @@ def publish_run(spark, sf_dir):
 @query
 def profile_columns(spark, sf_dir):
     return validate.profile_columns(base.raw(spark, sf_dir)).select(
-        "name", "semantic_type", "null_count", "unique_count",
+        "name", "dtype", "semantic_type", "null_count", "unique_count",
         F.array_join("sample_values", "|").alias("samples"))
 
 

@@ -346,7 +346,8 @@ def _role(c: str) -> str:
     return "binary" if c in _BINARY else "categorical"
 
 
-_PROFILE = " UNION ALL ".join(f"""SELECT '{c}' AS name, '{_role(c)}' AS semantic_type,
+_KINDS = {"SeniorCitizen": "int", "tenure": "int", "MonthlyCharges": "double"}
+_PROFILE = " UNION ALL ".join(f"""SELECT '{c}' AS name, '{_KINDS.get(c, "string")}' AS dtype, '{_role(c)}' AS semantic_type,
  count(*) - count({c}) AS null_count, count(DISTINCT {c}) AS unique_count,
  (SELECT string_agg(v, '|' ORDER BY customerID) FROM (SELECT customerID, CAST({c} AS VARCHAR) AS v FROM raw
    WHERE {c} IS NOT NULL ORDER BY customerID LIMIT 3)) AS samples FROM raw""" for c in cfg.RAW_COLUMNS)
