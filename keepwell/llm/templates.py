@@ -62,7 +62,8 @@ FACTOR = np.uint64(0x9E3779B97F4A7C15)
 def canonical(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of all texts' tokens, in order: template hash, kind, value hash; and where each text's tokens end.
 
-    A name is a capitalized word inside a sentence; names in a row are one.
+    A name is a capitalized word inside a sentence; names in a row are one.  Words all in
+    capitals are words, so that a text set in capitals keeps its template.
     """
     seen: dict[str, int] = {}
     order, counts = [], []
@@ -78,7 +79,7 @@ def canonical(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarr
             low = p.lower()
             value.append(xxhash.xxh64_intdigest(low, 7))
             kind.append(NUMBER if p[0].isdigit() or low in NUMBER_WORDS else UNIT if low in UNITS else WORD)
-            capital.append(p[0].isupper())
+            capital.append(p[0].isupper() and not p.isupper())
             ends.append(False)
         if parts:
             ends[-1] = bool(ENDS.search(raw))

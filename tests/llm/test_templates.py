@@ -24,7 +24,7 @@ def plain_tokens(text):
                 kind = tp.NUMBER
             elif low in tp.UNITS and was_number:
                 kind = tp.UNIT
-            elif p[0].isupper() and not opens:
+            elif p[0].isupper() and not p.isupper() and not opens:
                 kind = tp.NAME
             else:
                 kind = tp.WORD
@@ -82,11 +82,12 @@ def compare(spark, docs, items):
 def test_changed_values(spark):
     filler = "some ordinary words come before it and more of them "
     out = compare(spark, [(1, filler + QUESTION), (2, filler + CHANGED + " " + filler), (3, filler + MUDDLED), (4, filler * 5),
-                          (5, QUESTION.lower()), (6, "x\n".join(QUESTION.split(",")))],
+                          (5, QUESTION.upper()), (6, "x\n".join(QUESTION.split(",")))],
                   [(10, QUESTION), (11, QUESTION), (12, "How much is 2 plus 2 in all?")])
     assert out[1]["items"] == [10, 11] and out[1].changed_slots == 0
     assert out[2].contaminated and out[2].changed_slots >= 3
     assert not out[3].contaminated and not out[4].contaminated
+    assert out[5].contaminated and out[6].contaminated
 
 
 def test_random(spark):
