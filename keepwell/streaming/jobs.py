@@ -107,6 +107,8 @@ def quota_stream(events: DataFrame, out: str, checkpoint: str,
                  watermark: str = WATERMARK) -> StreamingQuery:
     """Running request counts per client and minute; rows past the watermark are dropped.
 
+    `late_groups` tells how many; `spark.sql.streaming.numRecentProgressUpdates` bounds what it sees.
+
     Update mode: each batch writes the minutes it changed, the highest count
     of a minute is its latest.
     """
@@ -115,6 +117,11 @@ def quota_stream(events: DataFrame, out: str, checkpoint: str,
     return _per_batch(per_minute(timed), lambda b: b, out, checkpoint, mode="update")
 
 
+def late_groups(query: StreamingQuery) -> int:
+    """Groups (client and minute, per batch) that a finished stream dropped as later than its watermark."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+
+
 def read_batches(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.parquet(out).drop("batch")
 
