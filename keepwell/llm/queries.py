@@ -80,8 +80,8 @@ def op3_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP3_SQL = """
 WITH RECURSIVE ok AS (
   SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
-  WHERE len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-    AND len(list_filter(embedding, x -> x <> 0)) > 0),
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 pairs AS (
   SELECT a.vec_id AS x, b.vec_id AS y FROM ok a JOIN ok b
     ON a.vec_id < b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.95),
