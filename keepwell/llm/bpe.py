@@ -25,13 +25,14 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from keepwell.llm.common import ragged, text_batches, text_slices, without, worker_state
 
-#: Words whose tokens a Python worker remembers; beyond that it starts anew.
-CACHE_WORDS = 800_000
+#: Words whose tokens a Python worker remembers, some 45 bytes each; beyond that it starts anew.
+CACHE_WORDS = 2_000_000
 #: Words that one recursive query contracts.
 WORDS_A_QUERY = 40_000
 #: Text bytes that are encoded at a time.
@@ -151,26 +152,52 @@ class Codec:
         self.con.unregister("arrow_rows")
 
     def forget(self) -> None:
-        self.words: dict[str, int] = {}
-        self.tokens, self.ends = array("i"), array("q", [0])
-
-    def learn(self, words: list[str]) -> None:
-        """Contract the words and remember their tokens; a word that is a token is just that."""
-        for first in range(0, len(words), WORDS_A_QUERY):
-            part = words[first:first + WORDS_A_QUERY]
-            pieces = [w.encode() for w in part]
-            whole = [self.ranks.get(p, -1) for p in pieces]
-            rest = [p for p, r in zip(pieces, whole) if r < 0]
-            found, ends = self.contract(rest) if rest else (np.zeros(0, np.int32), [0])
-            nth = 0
-            for w, r in zip(part, whole):
-                if r >= 0:
-                    self.tokens.append(r)
-                else:
-                    self.tokens.frombytes(found[ends[nth]:ends[nth + 1]].tobytes())
-                    nth += 1
-                self.words[w] = len(self.ends) - 1
-                self.ends.append(len(self.tokens))
+        """Words are remembered by 128-bit hashes, sorted; `nth` is where their tokens are."""
+        self.high = self.low = np.zeros(0, np.uint64)
+        self.nth = np.zeros(0, np.int32)
+        self.tokens, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def known(self, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """Where the words' tokens are, -1 for those not remembered."""
+        if not len(self.high):
+            return np.full(len(high), -1, np.int32)
+        at = np.minimum(np.searchsorted(self.high, high), len(self.high) - 1)
+        return np.where((self.high[at] == high) & (self.low[at] == low), self.nth[at], np.int32(-1))
+
+    def places(self, words: list[str]) -> np.ndarray:
+        """Where the tokens of these distinct words are, after learning those that aren't remembered."""
+        pieces = [w.encode() for w in words]
+        hashes = np.frombuffer(b"".join([xxhash.xxh3_128_digest(p) for p in pieces]), dtype=">u8").reshape(-1, 2).astype(np.uint64)
+        high, low = hashes[:, 0], hashes[:, 1]
+        found = self.known(high, low)
+        new = np.flatnonzero(found < 0)
+        if len(self.nth) + len(new) > CACHE_WORDS:
+            self.forget()
+            found, new = np.full(len(words), -1, np.int32), np.arange(len(words))
+        if len(new):
+            found[new] = np.arange(len(self.ends) - 1, len(self.ends) - 1 + len(new))
+            self.learn([pieces[i] for i in new.tolist()])
+            order = new[np.argsort(high[new], kind="stable")]
+            at = np.searchsorted(self.high, high[order])
+            self.high, self.low = np.insert(self.high, at, high[order]), np.insert(self.low, at, low[order])
+            self.nth = np.insert(self.nth, at, found[order])
+        return found
+
+    def learn(self, pieces: list[bytes]) -> None:
+        """Append the tokens of these words; a word that is a token is just that."""
+        tokens, sizes = [self.tokens], [np.zeros(0, np.int64)]
+        for first in range(0, len(pieces), WORDS_A_QUERY):
+            part = pieces[first:first + WORDS_A_QUERY]
+            whole = np.array([self.ranks.get(p, -1) for p in part], dtype=np.int32)
+            rest = np.flatnonzero(whole < 0)
+            flat, ends = self.contract([part[i] for i in rest.tolist()]) if len(rest) else (np.zeros(0, np.int32), [0])
+            # Runs to take, in the words' order, from the contracted tokens with the whole ones behind them.
+            starts, counts = len(flat) + np.arange(len(part), dtype=np.int64), np.ones(len(part), np.int64)
+            starts[rest], counts[rest] = ends[:-1], np.diff(ends)
+            tokens.append(np.concatenate([flat, whole])[ragged(starts, counts, np.arange(len(part)))])
+            sizes.append(counts)
+        self.tokens = np.concatenate(tokens).astype(np.int32)
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate(sizes))])
 
     def contract(self, pieces: list[bytes]) -> tuple[np.ndarray, list[int]]:
         """Tokens of all pieces and where each piece's end."""
@@ -193,16 +220,14 @@ class Codec:
             parts = cut_at_spaces(text or "")
             order.extend([seen.setdefault(p, len(seen)) for p in parts])
             counts.append(len(parts))
-        found = [self.pattern.findall(p) for p in seen]
-        new = list({w for ws in found for w in ws if w not in self.words})
-        if len(self.words) + len(new) > CACHE_WORDS:
-            self.forget()
-            new = list({w for ws in found for w in ws})
-        self.learn(new)
-        words = np.array([self.words[w] for ws in found for w in ws], dtype=np.int64)
-        per_part = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        tokens, ends = np.array(self.tokens, dtype=np.int32), np.array(self.ends, dtype=np.int64)
-        starts, sizes = ends[:-1], np.diff(ends)
+        own: dict[str, int] = {}
+        spelled, per_part = array("q"), np.zeros(len(seen), np.int64)
+        for i, p in enumerate(seen):
+            found = self.pattern.findall(p)
+            spelled.extend([own.setdefault(w, len(own)) for w in found])
+            per_part[i] = len(found)
+        words = self.places(list(own))[np.array(spelled, dtype=np.int64)] if own else np.zeros(0, np.int64)
+        tokens, starts, sizes = self.tokens, self.ends[:-1], np.diff(self.ends)
         # Tokens of each distinct part, then of each text.
         part_tokens = tokens[ragged(starts, sizes, words)]
         word_ends = np.concatenate([[0], np.cumsum(sizes[words])])
