@@ -31,8 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keepwell.llm.common import BLANKS, quoted, rows_back, text_batches, whole_rows
-from keepwell.sources.scratch import materialize
+from keepwell.llm.common import BLANKS, quoted, rows_back, saved, text_batches, whole_rows, worker_state
 
 #: Bits of each filter for a line of the table, and bits that a key sets.
 BITS_A_LINE, PROBES = 8, 2
@@ -98,6 +97,7 @@ def repeat_filter(docs: DataFrame, least_chars: int, log2_bits: int) -> DataFram
                 "again": pa.array([_gaps(again[c:d] - (s << SHARD_BITS))], pa.binary())})
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("lines")
         held, n = [], 0
         for batch in batches:
             digests = [d for text in batch.column("text").to_pylist() for d in line_keys(text, least_chars)]
@@ -149,6 +149,7 @@ def suspects(docs: DataFrame, least_chars: int, filters: DataFrame, log2_bits: i
 
         def look(batches: Iterator[pa.RecordBatch], sent=sent, base=first << SHARD_BITS,
                  bits=(last - first) << SHARD_BITS) -> Iterator[pa.RecordBatch]:
+            worker_state("lines")
             packed = np.zeros((bits >> SHARD_BITS, 1 << SHARD_BITS >> 3), np.uint8)
             for s, blob in sent.value.items():
                 shard = np.zeros(1 << SHARD_BITS, bool)
@@ -181,10 +182,11 @@ def suspects(docs: DataFrame, least_chars: int, filters: DataFrame, log2_bits: i
 def dropped_lines(docs: DataFrame, least_chars: int, least_docs: int) -> DataFrame:
     """(id, digests): per document, the keys whose lines it loses.  `docs` has id and text."""
     log2_bits = _log2_bits(docs)
-    filters = materialize(repeat_filter(docs, least_chars, log2_bits), "line-filter")
-    found = materialize(suspects(docs, least_chars, filters, log2_bits), "line-suspects")
-    shared = found.groupBy("digest").agg(F.count_distinct("id").alias("docs"), F.max("id").alias("keeper")) \
-        .where(F.col("docs") >= least_docs)
+    filters, _ = saved(repeat_filter(docs, least_chars, log2_bits), "line-filter")
+    found, _ = saved(suspects(docs, least_chars, filters, log2_bits), "line-suspects")
+    # Written, so that the join deals both sides out and can split a line that very many documents share.
+    shared, _ = saved(found.groupBy("digest").agg(F.count_distinct("id").alias("docs"), F.max("id").alias("keeper"))
+                      .where(F.col("docs") >= least_docs), "line-shared")
     return found.join(shared, "digest").where("id <> keeper") \
         .groupBy("id").agg(F.collect_set("digest").alias("digests"))
 
