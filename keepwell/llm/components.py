@@ -23,9 +23,13 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     now, path = saved(start, "links")
     mark = _mark(now)
     while mark[0]:
-        further, new_path = saved(_small_star(_large_star(now)), "links")
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        # Written, so that the join deals both sides out and can split a node with very many links.
+        least, least_path = saved(both.groupBy("u").agg(F.min("v").alias("m")), "links-least")
+        further, new_path = saved(_small_star(_large_star(both, least)), "links")
         new_mark = _mark(further)
         discard(spark, path)
+        discard(spark, least_path)
         now, path = further, new_path
         if new_mark == mark:
             break
@@ -37,9 +41,7 @@ def _mark(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def _large_star(links: DataFrame) -> DataFrame:
-    both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m"))
+def _large_star(both: DataFrame, least: DataFrame) -> DataFrame:
     return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
 
 

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keepwell.llm.common import saved, text_batches
+from keepwell.llm.common import saved, text_batches, worker_state
 from keepwell.llm.components import components
 
 #: Differing bits at which fingerprints still link.  The keys are made for just this number.
@@ -75,6 +75,7 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", words_a
     text_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("simhash")
         for batch in batches:
             found = [fingerprint(t, words_a_shingle) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -240,9 +241,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     found = components(links(classes)).withColumnRenamed("node", "fp")
     # The component's least fingerprint stands for it; classes without links stand for themselves.
     named = classes.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    # One row for each class; a class that very many rows share is split by the join.
-    resolved = named.join(least, "component").select("fp", "component_id")
+    # Written, so that the joins deal both sides out and can split a component or class of very many rows.
+    least, _ = saved(named.groupBy("component").agg(F.min("least_id").alias("component_id")), "simhash-components")
+    resolved, _ = saved(named.join(least, "component").select("fp", "component_id"), "simhash-resolved")
     return marked.join(resolved, "fp").select("id", "fp", "component_id")
 
 
