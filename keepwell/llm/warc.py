@@ -252,8 +252,9 @@ def convert(spark: SparkSession, arc_folder: str, files: int, warc_folder: str,
     arc_folder, warc_folder = _uri(arc_folder), _uri(warc_folder)
     found, _ = saved(payloads(spark, arc_folder, files), "arc-records")
     place = F.struct(F.col("page_id").isNull().alias("anonymous"), "page_id", "file", "nth")
-    firsts = found.where(F.col("payload_bytes") >= least_bytes).groupBy("digest", "payload_bytes").agg(F.min(place).alias("first"))
-    # A digest that very many records share has one row here; the join splits the records.
+    # Written, so that the join deals both sides out and can split the records of a digest that very many share.
+    firsts, _ = saved(found.where(F.col("payload_bytes") >= least_bytes).groupBy("digest", "payload_bytes")
+                      .agg(F.min(place).alias("first")), "arc-firsts")
     known = found.join(firsts, ["digest", "payload_bytes"], "left").select(
         "file", "nth", F.when((F.col("first.file") != F.col("file")) | (F.col("first.nth") != F.col("nth")), F.col("first")).alias("first"))
 
