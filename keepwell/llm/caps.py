@@ -337,10 +337,10 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     parts = components(found.where("b IS NOT NULL")).withColumnRenamed("node", "digest")
     named = classes.select("digest", "least_id", "weight").join(parts, "digest", "left").join(sums, "digest", "left") \
         .withColumn("component", F.coalesce("component", "digest"))
-    least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    resolved = named.join(least, "component").select(
-        "digest", (F.col("weight") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id")
-    # One row for each class; a vector that very many rows share is split by the join.
+    # Written, so that the joins deal both sides out and can split a component or vector of very many rows.
+    least, _ = saved(named.groupBy("component").agg(F.min("least_id").alias("component_id")), "cap-components")
+    resolved, _ = saved(named.join(least, "component").select(
+        "digest", (F.col("weight") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id"), "cap-resolved")
     counts = rows.select("id", F.when(F.col("id").isNotNull(), F.col("digest")).alias("digest")).join(resolved, "digest", "left")
     component = F.coalesce("component_id", "id")
     return counts.select("id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"),
