@@ -125,31 +125,14 @@ def _merge_rows(ranks: dict[bytes, int]) -> pa.Table:
     return pa.table({n: pa.array([x[i] for x in rows], pa.int32()) for i, n in enumerate(("a", "b", "rank"))})
 
 
-class Codec:
-    """One worker's tables of a vocabulary, and the words it remembers."""
+class Memory:
+    """Tokens of texts that were encoded before; `learn` appends those of new ones to `tokens` and `ends`."""
 
-    def __init__(self, blob: bytes, pattern: str):
-        self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, blob.splitlines()) if a}
-        self.pattern = regex.compile(white_space(pattern))
-        self.con = duckdb.connect()
-        for setting in ("threads = 1", "memory_limit = '400MB'", "preserve_insertion_order = true",
-                        "allocator_flush_threshold = '4MB'", "allocator_bulk_deallocation_flush_threshold = '4MB'"):
-            self.run(f"SET {setting}")
-        self.load("merges", _merge_rows(self.ranks))
-        self.load("vocabulary", pa.table({
-            "tok": pa.array(self.ranks.values(), pa.int32()),
-            "chars": pa.array([t.decode("latin-1") for t in self.ranks])}))
-        self.run(f"CREATE TABLE sure AS {SURE}")
-        self.of_byte = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int32)
-        self.forget()
-
-    def run(self, sql: str) -> list[tuple]:
-        return self.con.execute(sql).fetchall()
+    def limit(self) -> int:
+        return CACHE_WORDS
 
-    def load(self, name: str, rows: pa.Table, sql: str = "") -> None:
-        self.con.register("arrow_rows", rows)
-        self.run(f"CREATE OR REPLACE TABLE {name} AS {sql or 'SELECT * FROM arrow_rows'}")
-        self.con.unregister("arrow_rows")
+    def learn(self, pieces: list[bytes]) -> None:
+        raise NotImplementedError
 
     def forget(self) -> None:
         """Words are remembered by 128-bit hashes, sorted; `nth` is where their tokens are."""
@@ -171,7 +154,7 @@ class Codec:
         high, low = hashes[:, 0], hashes[:, 1]
         found = self.known(high, low)
         new = np.flatnonzero(found < 0)
-        if len(self.nth) + len(new) > CACHE_WORDS:
+        if len(self.nth) + len(new) > self.limit():
             self.forget()
             found, new = np.full(len(words), -1, np.int32), np.arange(len(words))
         if len(new):
@@ -183,6 +166,33 @@ class Codec:
             self.nth = np.insert(self.nth, at, found[order])
         return found
 
+
+class Codec(Memory):
+    """One worker's tables of a vocabulary, and the words it remembers."""
+
+    def __init__(self, blob: bytes, pattern: str):
+        self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, blob.splitlines()) if a}
+        self.pattern = regex.compile(white_space(pattern))
+        self.con = duckdb.connect()
+        for setting in ("threads = 1", "memory_limit = '400MB'", "preserve_insertion_order = true",
+                        "allocator_flush_threshold = '4MB'", "allocator_bulk_deallocation_flush_threshold = '4MB'"):
+            self.run(f"SET {setting}")
+        self.load("merges", _merge_rows(self.ranks))
+        self.load("vocabulary", pa.table({
+            "tok": pa.array(self.ranks.values(), pa.int32()),
+            "chars": pa.array([t.decode("latin-1") for t in self.ranks])}))
+        self.run(f"CREATE TABLE sure AS {SURE}")
+        self.of_byte = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int32)
+        self.forget()
+
+    def run(self, sql: str) -> list[tuple]:
+        return self.con.execute(sql).fetchall()
+
+    def load(self, name: str, rows: pa.Table, sql: str = "") -> None:
+        self.con.register("arrow_rows", rows)
+        self.run(f"CREATE OR REPLACE TABLE {name} AS {sql or 'SELECT * FROM arrow_rows'}")
+        self.con.unregister("arrow_rows")
+
     def learn(self, pieces: list[bytes]) -> None:
         """Append the tokens of these words; a word that is a token is just that."""
         tokens, sizes = [self.tokens], [np.zeros(0, np.int64)]

@@ -34,20 +34,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepwell.llm.bpe import cut_at_spaces
+from keepwell.llm.bpe import Memory, cut_at_spaces
 from keepwell.llm.common import quoted, ragged, text_batches, text_slices, worker_state
 from keepwell.sources.scratch import scratch_path
 
 #: Text bytes of a part, about.
 PART_BYTES = 32 << 20
 #: Pieces between spaces whose ids a Python worker remembers; beyond that it starts anew.
-CACHE_PIECES = 600_000
+CACHE_PIECES = 2_000_000
+#: Pieces that are encoded at a time.
+PIECES_A_BATCH = 50_000
 #: Text bytes that are encoded at a time, and ids that are read at a time.
 TEXT_BYTES, READ_IDS = 8 << 20, 4 << 20
 NO_ID = -(1 << 63)
 
 
-class Encoder:
+class Encoder(Memory):
     """A worker's tokenizer.  Byte-level pre-tokenizing always cuts before a space with a visible
     character behind it, so texts are encoded by their distinct pieces between such cuts."""
 
@@ -62,31 +64,34 @@ class Encoder:
                           and before.get("use_regex", True) and not before.get("add_prefix_space"))
         self.forget()
 
-    def forget(self) -> None:
-        self.pieces: dict[str, int] = {}
-        self.ids, self.ends = array("I"), array("q", [0])
+    def limit(self) -> int:
+        return CACHE_PIECES
 
-    def learn(self, pieces: list[str]) -> None:
-        for p, e in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)):
-            self.pieces[p] = len(self.ends) - 1
-            self.ids.extend(e.ids)
-            self.ends.append(len(self.ids))
+    def learn(self, pieces: list[bytes]) -> None:
+        ids, sizes = array("i"), array("q")
+        for first in range(0, len(pieces), PIECES_A_BATCH):
+            part = [p.decode() for p in pieces[first:first + PIECES_A_BATCH]]
+            for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False):
+                own = e.ids
+                ids.extend(own)
+                sizes.append(len(own))
+        self.tokens = np.concatenate([self.tokens, np.array(ids, dtype=np.int32)])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.array(sizes, dtype=np.int64))])
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and each text's number of ids."""
         cut = cut_at_spaces if self.by_pieces else lambda t: [t]
-        parts = [cut(t or "") for t in texts]
-        new = list({p for ps in parts for p in ps if p not in self.pieces})
-        if len(self.pieces) + len(new) > CACHE_PIECES:
-            self.forget()
-            new = list({p for ps in parts for p in ps})
-        self.learn(new)
-        which = np.fromiter((self.pieces[p] for ps in parts for p in ps), np.int64)
-        ends = np.array(self.ends, dtype=np.int64)
-        sizes = np.diff(ends)
-        ids = np.array(self.ids, dtype=np.uint32)[ragged(ends[:-1], sizes, which)]
+        seen: dict[str, int] = {}
+        order, counts = array("q"), []
+        for t in texts:
+            parts = cut(t or "")
+            order.extend([seen.setdefault(p, len(seen)) for p in parts])
+            counts.append(len(parts))
+        which = self.places(list(seen))[np.array(order, dtype=np.int64)] if seen else np.zeros(0, np.int64)
+        sizes = np.diff(self.ends)
+        ids = self.tokens[ragged(self.ends[:-1], sizes, which)].astype(np.uint32)
         upto = np.concatenate([[0], np.cumsum(sizes[which])]).astype(np.int64)
-        return ids, np.diff(upto[np.concatenate([[0], np.cumsum([len(ps) for ps in parts])]).astype(np.int64)])
+        return ids, np.diff(upto[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)])
 
 
 def encoder(blob: str) -> Encoder:
