@@ -48,21 +48,25 @@ GENERATOR = 0b110001110101
 BLOCK = 2048
 
 
-def fingerprint(text: str | None, words_a_shingle: int) -> int:
-    """The text's SimHash over its shingles, repeats included; bytes.lower() and split() are ASCII-only."""
+def shingle_hashes(text: str | None, words_a_shingle: int) -> list[int]:
+    """Of the text's shingles in order, repeats included; bytes.lower() and split() are ASCII-only."""
     words = (text or "").encode().lower().split()
     n = len(words)
     if not n:
-        return 0
+        return []
     line = b" ".join(words)
     if n < words_a_shingle:
-        hashes = [xxhash.xxh64_intdigest(line, SEED)]
-    else:
-        sizes = np.fromiter(map(len, words), np.int64, n)
-        starts = np.cumsum(sizes + 1) - (sizes + 1)
-        ends = (starts + sizes)[words_a_shingle - 1:].tolist()
-        of = xxhash.xxh64_intdigest
-        hashes = [of(line[a:b], SEED) for a, b in zip(starts.tolist(), ends)]
+        return [xxhash.xxh64_intdigest(line, SEED)]
+    sizes = np.fromiter(map(len, words), np.int64, n)
+    starts = np.cumsum(sizes + 1) - (sizes + 1)
+    ends = (starts + sizes)[words_a_shingle - 1:].tolist()
+    of = xxhash.xxh64_intdigest
+    return [of(line[a:b], SEED) for a, b in zip(starts.tolist(), ends)]
+
+
+def fingerprint(text: str | None, words_a_shingle: int) -> int:
+    """The text's SimHash over its shingles, repeats included."""
+    hashes = shingle_hashes(text, words_a_shingle)
     counts = np.zeros(64, np.int64)
     for first in range(0, len(hashes), 1 << 16):
         part = np.array(hashes[first:first + (1 << 16)], dtype="<u8").view(np.uint8).reshape(-1, 8)
@@ -238,13 +242,18 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     """(id, fp, component_id) of each row: component_id is the least id that links reach."""
     marked, _ = saved(fingerprints(df, key, text, words_a_shingle), "simhash-fingerprints")
     classes, _ = saved(marked.groupBy("fp").agg(F.min("id").alias("least_id")), "simhash-classes")
-    found = components(links(classes)).withColumnRenamed("node", "fp")
+    return resolved(marked, classes, links(classes))
+
+
+def resolved(marked: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
+    """(id, fp, component_id) of the rows `marked` (id, fp), whose `classes` (fp, least_id) the links `found` (a, b) connect."""
+    parts = components(found).withColumnRenamed("node", "fp")
     # The component's least fingerprint stands for it; classes without links stand for themselves.
-    named = classes.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    named = classes.join(parts, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     # Written, so that the joins deal both sides out and can split a component or class of very many rows.
     least, _ = saved(named.groupBy("component").agg(F.min("least_id").alias("component_id")), "simhash-components")
-    resolved, _ = saved(named.join(least, "component").select("fp", "component_id"), "simhash-resolved")
-    return marked.join(resolved, "fp").select("id", "fp", "component_id")
+    ids, _ = saved(named.join(least, "component").select("fp", "component_id"), "simhash-resolved")
+    return marked.join(ids, "fp").select("id", "fp", "component_id")
 
 
 def unsigned_hex(column) -> "F.Column":
