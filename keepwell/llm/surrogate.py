@@ -13,6 +13,9 @@ Only entities that needed more than the first attempt must be looked up when the
 documents are rewritten; they are few, as formats have room.  Up to `SENT_ROWS` of them
 are sent to the tasks, more are joined by document.
 
+A name found beside a title or a listed given name is replaced at its other capitalized
+mentions in the same document, too.
+
 Defined cases: null and empty texts have no entities and stay as they are; rows of equal
 id and text get equal results, also where the id is null; other columns pass through,
 and new columns replace columns of their names; an empty table gives an empty table.
@@ -22,6 +25,7 @@ from __future__ import annotations
 
 import hmac
 import re
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -68,8 +72,13 @@ NUMERIC = re.compile(r"""
             | (?<![\w.])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\w))
 """, re.X)
 _CAPITAL = r"[A-ZÀ-ÖØ-ÞА-Я][\w'’-]+"
+#: Words that open a sentence behind a title's point ("Prof. The"); further mentions of them are no names.
+NO_NAMES = frozenset("the a an and but or if in on at to of for from by with as he she it we you they this that these those his her "
+                     "its our your their my not no so then there when where who what why how is was are were has have had will "
+                     "der die das ein eine und er sie es wir le la les un une et il elle el los las una y".split())
 #: Without one of these a text can't hold an entity; both are found fast.
 _DIGIT, _HINT = re.compile(r"[0-9@]"), re.compile("|".join([*TITLES, *GIVEN]))
+POSSESSIVE = re.compile(r"(?<=\w\w)['’]s$")
 NAMED = re.compile(rf"\b(?:(?P<title>{'|'.join(TITLES)})\.?[ ](?P<first>{_CAPITAL})(?:[ ](?P<last>{_CAPITAL}))?"
                    rf"|(?P<given>{'|'.join(GIVEN)})[ ](?P<family>{_CAPITAL}))")
 
@@ -110,11 +119,38 @@ def entities(text: str | None) -> list[tuple[int, int, str, str]]:
             parts = [("first", f"given-{GIVEN.get(m['first'], gender)}"), ("last", "family")]
         else:
             parts = [("given", f"given-{gender}"), ("family", "family")]
-        names += [(m.start(g), m.end(g), kind, normal(kind, m[g])) for g, kind in parts]
+        for g, kind in parts:
+            own = POSSESSIVE.sub("", m[g])
+            names.append((m.start(g), m.start(g) + len(own), kind, normal(kind, own)))
     if not names:
         return found
-    taken = [(a, b) for a, b, _, _ in found]
-    return sorted(found + [n for n in names if all(n[1] <= a or b <= n[0] for a, b in taken)])
+    return _placed(found, names + _mentions(text, names))
+
+
+def _placed(found: list, names: list) -> list:
+    """All in order, without names that overlap what was found before, or a name before them in the list."""
+    taken = sorted((a, b) for a, b, _, _ in found)
+    out = list(found)
+    for n in names:
+        at = bisect_left(taken, (n[1],))
+        if not at or taken[at - 1][1] <= n[0]:
+            insort(taken, (n[0], n[1]))
+            out.append(n)
+    return sorted(out)
+
+
+def _mentions(text: str, names: list) -> list:
+    """Further capitalized mentions of the names found in the text, each as the entity it was first found as."""
+    known: dict[str, str] = {}
+    for _, _, kind, form in names:
+        # A name that is given somewhere is that of the same person where it stands alone.
+        if form not in NO_NAMES and (form not in known or known[form] == "family" and kind != "family"):
+            known[form] = kind
+    if not known:
+        return []
+    pattern = re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, sorted(known, key=len, reverse=True)))})(?!\w)", re.I)
+    return [(m.start(), m.end(), known[m[0].lower()], m[0].lower()) for m in pattern.finditer(text)
+            if m[0][0].isupper() and m[0].lower() in known]
 
 
 class Draw:
