@@ -8,13 +8,18 @@ one occurrence.  Its slots must be consistent: each of the item's values stands
 the same value of the document wherever it occurs.  A document is contaminated by
 an item when consistent occurrences cover at least `COVERAGE` of its windows.
 
+Texts are read in two ways, as a sentence's first word may be a name or not: in one,
+capitalized words are names inside a sentence only, in the other also where they open
+one.  Either reading of an item is compared with the same reading of the documents.
+
 A bit field of the benchmark's hashes, of fixed size, travels to the tasks, so that
 only windows that can match leave them; the join itself is on the whole hash.
 
 Defined cases: null, empty and blank texts match nothing; items of fewer tokens than
-a window count as one window, those with fewer than `LEAST_WORDS` words besides
-placeholders can't be told from other text and match nothing; equal items are
-reported each; rows of equal id and text get equal verdicts, also where the id is
+a window count as one window; those compared by exact tokens that have fewer than
+`LEAST_WORDS` tokens or no letter can't be told from other text, and match documents
+that consist of nothing else; scripts without spaces are cut by character; equal items
+are reported each; rows of equal id and text get equal verdicts, also where the id is
 null; an empty table gives an empty table, an empty benchmark flags nothing.
 """
 
@@ -51,26 +56,63 @@ UNITS = frozenset(
     "cup cups s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years "
     "cent cents dollar dollars euro euros $ € £ % percent kmh mph hz khz mhz w kw v a j kj cal kcal c f k °c °f".split())
 
-PART = re.compile(r"\d+(?:[.,:/]\d+)*|[$€£%°]+|[^\W\d_]+(?:['’-][^\W\d_]+)*|_+")
+#: Scripts without spaces between words: Thai, Lao, Burmese, Khmer, Chinese, Japanese.
+UNSPACED = ""  # "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003134f"
+LETTERS = rf"[^\W\d_{UNSPACED}]+(?:['’-][^\W\d_{UNSPACED}]+)*"
+PART = re.compile(rf"\d+(?:[.,:/]\d+)*|[$€£%°]+|{LETTERS}|_+")
+#: Exact tokens: numbers, words and signs, without the punctuation that texts are quoted with.
+EXACT = re.compile(rf"\d+(?:[.,:/]\d+)*|[{UNSPACED}]|{LETTERS}|[^\w\s.,:;!?'\"’()\[\]]")
 ENDS = re.compile(r"[.!?:;]['\")\]]*$")
 WORD, NUMBER, UNIT, NAME = 0, 1, 2, 3
+#: Readings of a text: first words of sentences as words, as names; exact tokens.  Windows meet those of their reading only.
+WORDS_OPEN, NAMES_OPEN, VERBATIM = 0, 1, 2
+READING = np.array([0, *(xxhash.xxh64_intdigest(r, 7) for r in ("names open", "verbatim"))], dtype=np.uint64)
 #: What a placeholder of each kind hashes to.
 PLACEHOLDER = np.array([0] + [xxhash.xxh64_intdigest(f"<{k}>", 7) for k in ("number", "unit", "name")], dtype=np.uint64)
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
-def canonical(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all texts' tokens, in order: template hash, kind, value hash; and where each text's tokens end.
-
-    A name is a capitalized word inside a sentence; names in a row are one.  Words all in
-    capitals are words, so that a text set in capitals keeps its template.
-    """
+def _raw_words(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct words between blanks; of all texts' words, in order, which; and how many each text has."""
     seen: dict[str, int] = {}
     order, counts = [], []
     for t in texts:
         raw = (t or "").split()
         order.extend([seen.setdefault(w, len(seen)) for w in raw])
         counts.append(len(raw))
+    return list(seen), np.array(order, dtype=np.int64), np.array(counts, dtype=np.int64)
+
+
+def _spread(sizes: list[int], sequence: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of all tokens among those of the distinct words, and where each text's tokens end."""
+    sizes_of = np.array(sizes, dtype=np.int64)
+    if not len(sequence):
+        return np.zeros(0, np.int64), np.zeros(len(counts), np.int64)
+    at = ragged(np.cumsum(sizes_of) - sizes_of, sizes_of, sequence)
+    return at, np.concatenate([[0], np.cumsum(sizes_of[sequence])])[np.cumsum(counts)]
+
+
+def verbatim(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As a reading of `canonical`, of the exact tokens, of which none is a placeholder."""
+    seen, sequence, counts = _raw_words(texts)
+    value, sizes = [], []
+    for raw in seen:
+        parts = EXACT.findall(raw.lower())
+        sizes.append(len(parts))
+        value.extend([xxhash.xxh64_intdigest(p, 7) for p in parts])
+    at, text_ends = _spread(sizes, sequence, counts)
+    value = np.array(value, dtype=np.uint64)[at]
+    return value, np.zeros(len(at), np.int8), value, text_ends
+
+
+def canonical(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of all texts' tokens, in order: template hash, kind, value hash; and where each text's tokens end.  For both readings.
+
+    A name is a capitalized word inside a sentence, in the second reading also one that opens
+    it; names in a row are one.  Words all in capitals are words, so that a text set in
+    capitals keeps its template.
+    """
+    seen, sequence, counts = _raw_words(texts)
     value, kind, capital, ends, sizes = [], [], [], [], []
     for raw in seen:
         parts = PART.findall(raw)
@@ -83,33 +125,32 @@ def canonical(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarr
             ends.append(False)
         if parts:
             ends[-1] = bool(ENDS.search(raw))
-    sizes_of = np.array(sizes, dtype=np.int64)
-    starts = np.cumsum(sizes_of) - sizes_of if len(sizes_of) else sizes_of
-    sequence = np.array(order, dtype=np.int64)
-    at = ragged(starts, sizes_of, sequence) if len(sequence) else np.zeros(0, np.int64)
+    at, text_ends = _spread(sizes, sequence, counts)
     value, kind = np.array(value, dtype=np.uint64)[at], np.array(kind, dtype=np.int8)[at]
     capital, ends = np.array(capital, dtype=bool)[at], np.array(ends, dtype=bool)[at]
-    per_word = np.concatenate([[0], np.cumsum(sizes_of[sequence])]) if len(sequence) else np.zeros(1, np.int64)
-    text_ends = per_word[np.cumsum(np.array(counts, dtype=np.int64))]
     opens = np.zeros(len(at) + 1, dtype=bool)
     opens[np.concatenate([[0], text_ends])] = True
     opens = opens[:-1]
     after_number = np.r_[False, kind[:-1] == NUMBER] & ~opens if len(at) else opens
     kind = np.where((kind == UNIT) & ~after_number, WORD, kind)
-    inside = ~opens & ~np.r_[True, ends[:-1]][:len(at)]
-    kind = np.where((kind == WORD) & capital & inside, NAME, kind)
-    # A run of names is one slot; its value is made of all its words.
-    name = kind == NAME
-    goes_on = name & np.r_[False, name[:-1]][:len(at)] & ~opens
-    first = np.flatnonzero(~goes_on)
-    if len(first):
-        totals = np.cumsum(value, dtype=np.uint64)
-        before = np.r_[np.uint64(0), totals][first]
-        after = totals[np.r_[first[1:], len(at)] - 1]
-        value = after - before
-    kind = kind[first]
-    text_ends = np.searchsorted(first, text_ends, side="left")
-    return np.where(kind == WORD, value, PLACEHOLDER[kind]), kind, value, text_ends
+    begins = opens | np.r_[True, ends[:-1]][:len(at)]
+
+    def reading(may_name: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        own = np.where((kind == WORD) & capital & may_name, NAME, kind)
+        # A run of names is one slot; its value is made of all its words.
+        name = own == NAME
+        goes_on = name & np.r_[False, name[:-1]][:len(at)] & ~begins
+        first = np.flatnonzero(~goes_on)
+        values = value
+        if len(first):
+            totals = np.cumsum(value, dtype=np.uint64)
+            before = np.r_[np.uint64(0), totals][first]
+            after = totals[np.r_[first[1:], len(at)] - 1]
+            values = after - before
+        own = own[first]
+        return np.where(own == WORD, values, PLACEHOLDER[own]), own, values, np.searchsorted(first, text_ends, side="left")
+
+    return [reading(~begins), reading(np.ones(len(at), bool))]
 
 
 def window_hashes(tokens: np.ndarray, length: int) -> np.ndarray:
@@ -140,34 +181,51 @@ def _slots(kind: np.ndarray, value: np.ndarray, at: np.ndarray, length: int) ->
 
 
 def item_windows(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
-    """(h, item, place, windows, length, item_slots): all indexed windows of the items."""
+    """(h, item, reading, place, windows, length, whole, item_slots): all indexed windows of the items.
+
+    Of an item with `whole`, only a text of just so many tokens is a copy.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens, kind, value, ends = canonical(batch.column("text").to_pylist())
-            begins = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends
-            for i, a, b in zip(batch.column("item").to_pylist(), begins.tolist(), ends.tolist()):
-                length = min(WINDOW, b - a)
-                if length < LEAST_WORDS:
-                    continue
-                h = window_hashes(tokens[a:b], length)
-                words = np.lib.stride_tricks.sliding_window_view(kind[a:b] == WORD, length).sum(axis=1)
-                at = np.flatnonzero(words >= LEAST_WORDS)
-                if len(at):
-                    n = len(at)
-                    yield pa.RecordBatch.from_pydict({
-                        "h": pa.array(h[at].view(np.int64)), "item": pa.array([i] * n, pa.int64()),
-                        "place": pa.array(at, pa.int64()), "windows": pa.array([n] * n, pa.int64()),
-                        "length": pa.array([length] * n, pa.int32()),
-                        "item_slots": _slots(kind[a:b], value[a:b], at, length)})
+            texts = batch.column("text").to_pylist()
+            readings = canonical(texts)
+            begins = [np.concatenate([[0], r[3][:-1]]).astype(np.int64) if len(r[3]) else r[3] for r in readings]
+            for nth, i in enumerate(batch.column("item").to_pylist()):
+                spans = [slice(int(b[nth]), int(r[3][nth])) for b, r in zip(begins, readings)]
+                words_open = readings[WORDS_OPEN][1][spans[WORDS_OPEN]]
+                indexed = False
+                for which, (tokens, kind, value, _) in enumerate(readings):
+                    own = spans[which]
+                    n, kinds = own.stop - own.start, kind[own]
+                    length = min(WINDOW, n)
+                    if which == VERBATIM:
+                        if indexed or not n:
+                            continue
+                        at = np.arange(n - length + 1)
+                    else:
+                        if length < LEAST_WORDS or which == NAMES_OPEN and np.array_equal(kinds, words_open):
+                            continue
+                        words = np.lib.stride_tricks.sliding_window_view(kinds == WORD, length).sum(axis=1)
+                        at = np.flatnonzero(words >= LEAST_WORDS)
+                        indexed |= which == WORDS_OPEN and len(at) > 0
+                    if len(at):
+                        h = window_hashes(tokens[own], length) ^ READING[which]
+                        vague = which == VERBATIM and (n < LEAST_WORDS or not any(c.isalpha() for c in texts[nth]))
+                        yield pa.RecordBatch.from_pydict({
+                            "h": pa.array(h[at].view(np.int64)), "item": pa.array([i] * len(at), pa.int64()),
+                            "reading": pa.array([which] * len(at), pa.int32()), "place": pa.array(at, pa.int64()),
+                            "windows": pa.array([len(at)] * len(at), pa.int64()), "length": pa.array([length] * len(at), pa.int32()),
+                            "whole": pa.array([n if vague else None] * len(at), pa.int64()),
+                            "item_slots": _slots(kinds, value[own], at, length)})
 
     return benchmark.select(F.col(item).cast("long").alias("item"), F.col(text).alias("text")) \
         .where("item IS NOT NULL AND text IS NOT NULL") \
-        .mapInArrow(run, "h long, item long, place long, windows long, length int, item_slots array<long>")
+        .mapInArrow(run, "h long, item long, reading int, place long, windows long, length int, whole long, item_slots array<long>")
 
 
-def _field_of(windows: DataFrame) -> tuple[np.ndarray, list[int]]:
-    """A field of 2^FIELD_BITS bits, as bytes, with the windows' hashes set; and the windows' lengths.
+def _field_of(windows: DataFrame) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """A field of 2^FIELD_BITS bits, as bytes, with the windows' hashes set; and the windows' readings and lengths.
 
     Each task sends its set bits in chunks of bounded size; what meets here is the field, whatever the benchmark's size.
     """
@@ -184,12 +242,12 @@ def _field_of(windows: DataFrame) -> tuple[np.ndarray, list[int]]:
 
     for r in windows.select("h").coalesce(8).mapInArrow(run, "chunk int, bits binary").toLocalIterator():
         field[r.chunk] |= np.frombuffer(r.bits, np.uint8)
-    lengths = sorted(r.length for r in windows.select("length").distinct().collect())
+    lengths = sorted(map(tuple, windows.select("reading", "length").distinct().collect()))
     return np.unpackbits(field.ravel()), lengths
 
 
 def hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """(id, mark, h, at, doc_slots): the windows of `docs` (id, mark, text) that may be an item's."""
+    """(id, mark, h, at, size, doc_slots): the windows of `docs` (id, mark, text) that may be an item's, and the text's tokens in that reading."""
     spark = docs.sparkSession
     field, lengths = _field_of(windows)
     sent = spark.sparkContext.broadcast((np.packbits(field).tobytes(), lengths))
@@ -199,10 +257,14 @@ def hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
         packed, own_lengths = sent.value
         marked = np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
         for batch in batches:
-            tokens, kind, value, ends = canonical(batch.column("text").to_pylist())
-            begins = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends
-            for length in own_lengths:
-                h = window_hashes(tokens, length)
+            texts = batch.column("text").to_pylist()
+            readings = canonical(texts)
+            if any(reading == VERBATIM for reading, _ in own_lengths):
+                readings.append(verbatim(texts))
+            for reading, length in own_lengths:
+                tokens, kind, value, ends = readings[reading]
+                begins = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends
+                h = window_hashes(tokens, length) ^ READING[reading]
                 at = _starts(ends, length) if len(ends) else ends
                 at = at[marked[h[at] >> np.uint64(64 - FIELD_BITS)]] if len(at) else at
                 if not len(at):
@@ -211,10 +273,10 @@ def hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
                 pick = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id").take(pick), batch.column("mark").take(pick), pa.array(h[at].view(np.int64)),
-                     pa.array(at - begins[row], pa.int64()), _slots(kind, value, at, length)],
-                    ["id", "mark", "h", "at", "doc_slots"])
+                     pa.array(at - begins[row], pa.int64()), pa.array((ends - begins)[row], pa.int64()), _slots(kind, value, at, length)],
+                    ["id", "mark", "h", "at", "size", "doc_slots"])
 
-    return docs.mapInArrow(run, "id long, mark long, h long, at long, doc_slots array<long>")
+    return docs.mapInArrow(run, "id long, mark long, h long, at long, size long, doc_slots array<long>")
 
 
 def contaminations(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -227,19 +289,22 @@ def contaminations(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
                      F.col(quoted(text)).alias("text"))
     windows = item_windows(benchmark)
     pairs = F.transform(F.arrays_zip("item_slots", "doc_slots"), lambda s: F.struct(s.item_slots.alias("own"), s.doc_slots.alias("found")))
-    met = hits(docs, windows).join(windows, "h") \
-        .select("id", "mark", "item", "windows", (F.col("at") - F.col("place")).alias("diagonal"), "place", pairs.alias("pairs"))
+    met = hits(docs, windows).join(windows, "h").where("whole IS NULL OR whole = size") \
+        .select("id", "mark", "item", "reading", "windows", (F.col("at") - F.col("place")).alias("diagonal"), "place", pairs.alias("pairs"))
     # One occurrence is at most the item long, so its sets are small.
-    occurrences = met.groupBy("id", "mark", "item", "windows", "diagonal") \
-        .agg(F.collect_set("place").alias("places"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+    occurrences = met.groupBy("id", "mark", "item", "reading", "windows", "diagonal") \
+        .agg(F.collect_set("place").alias("places"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")) \
+        .where((F.col("reading") != VERBATIM) | (F.size("places") == F.col("windows")))
     values = F.array_distinct(F.col("pairs.own"))
     single = F.filter(values, lambda v: F.size(F.filter("pairs", lambda p: p.own == v)) == 1)
     consistent = occurrences.where(F.size(single) >= F.size(values) * CONSISTENT) \
         .withColumn("changed", F.size(F.filter("pairs", lambda p: p.own != p.found)))
-    covered = consistent.withColumn("place", F.explode("places")).groupBy("id", "mark", "item", "windows") \
+    covered = consistent.withColumn("place", F.explode("places")).groupBy("id", "mark", "item", "reading", "windows") \
         .agg(F.count_distinct("place").alias("n"), F.max("changed").alias("changed_slots"))
-    return covered.where(F.col("n") >= F.col("windows") * COVERAGE) \
-        .select("id", "mark", "item", (F.col("n") / F.col("windows")).alias("coverage"), "changed_slots")
+    # The first reading that contaminates says how.
+    found = F.min(F.struct("reading", (F.col("n") / F.col("windows")).alias("coverage"), "changed_slots")).alias("found")
+    return covered.where(F.col("n") >= F.col("windows") * COVERAGE).groupBy("id", "mark", "item").agg(found) \
+        .select("id", "mark", "item", "found.coverage", "found.changed_slots")
 
 
 def _named(df: DataFrame, found: DataFrame, key: str, text: str, how: str, *, keep: list) -> DataFrame:
