@@ -11,6 +11,8 @@ an item when consistent occurrences cover at least `COVERAGE` of its windows.
 Texts are read in two ways, as a sentence's first word may be a name or not: in one,
 capitalized words are names inside a sentence only, in the other also where they open
 one.  Either reading of an item is compared with the same reading of the documents.
+Items that have no window to index are compared by their exact tokens, values and
+signs included: only verbatim copies of the whole item contaminate.
 
 A bit field of the benchmark's hashes, of fixed size, travels to the tasks, so that
 only windows that can match leave them; the join itself is on the whole hash.
@@ -57,9 +59,9 @@ UNITS = frozenset(
     "cent cents dollar dollars euro euros $ € £ % percent kmh mph hz khz mhz w kw v a j kj cal kcal c f k °c °f".split())
 
 #: Scripts without spaces between words: Thai, Lao, Burmese, Khmer, Chinese, Japanese.
-UNSPACED = ""  # "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003134f"
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003134f"
 LETTERS = rf"[^\W\d_{UNSPACED}]+(?:['’-][^\W\d_{UNSPACED}]+)*"
-PART = re.compile(rf"\d+(?:[.,:/]\d+)*|[$€£%°]+|{LETTERS}|_+")
+PART = re.compile(rf"\d+(?:[.,:/]\d+)*|[$€£%°]+|[{UNSPACED}]|{LETTERS}|_+")
 #: Exact tokens: numbers, words and signs, without the punctuation that texts are quoted with.
 EXACT = re.compile(rf"\d+(?:[.,:/]\d+)*|[{UNSPACED}]|{LETTERS}|[^\w\s.,:;!?'\"’()\[\]]")
 ENDS = re.compile(r"[.!?:;]['\")\]]*$")
@@ -189,7 +191,7 @@ def item_windows(benchmark: DataFrame, item: str = "item_id", text: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            readings = canonical(texts)
+            readings = [*canonical(texts), verbatim(texts)]
             begins = [np.concatenate([[0], r[3][:-1]]).astype(np.int64) if len(r[3]) else r[3] for r in readings]
             for nth, i in enumerate(batch.column("item").to_pylist()):
                 spans = [slice(int(b[nth]), int(r[3][nth])) for b, r in zip(begins, readings)]
