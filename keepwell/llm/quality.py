@@ -13,8 +13,9 @@ A document counts as good if its label says quality 1 and not toxic.
 Defined cases: a null or empty text is scored by its counts of zero; null metadata
 is a value of its own, and a null n_chars is the text's length; labels without a
 quality are left out, and of several labels of a document the worst holds; without
-labels of both classes every document scores 1; repeated rows are scored row by row;
-an empty table gives an empty table; new columns replace columns of their names.
+labels of both classes every document scores 1; repeated rows are scored row by row, and
+fitted as one, the least; an empty table gives an empty table; new columns replace
+columns of their names.
 """
 
 from __future__ import annotations
@@ -219,8 +220,10 @@ def _fit(df: DataFrame, labels: DataFrame, key: str, text: str) -> tuple[Model,
     classes = {r.good: r.n for r in sample.groupBy("good").agg(F.count(F.lit(1)).alias("n")).collect()}
     model = Model()
     if len(classes) == 2:
-        texts = docs.select("id", "text").join(F.broadcast(sample), "id")
-        model.marks_bad, model.marks_good = mark_words(texts, classes[0.0] / sum(classes.values()))
+        # One row of each id, however often it is repeated: the least.
+        least = F.min(F.struct("text", "lang", "source", "n_chars")).alias("least")
+        chosen, _ = saved(docs.join(F.broadcast(sample), "id").groupBy("id", "good").agg(least).select("id", "good", "least.*"), "quality-chosen")
+        model.marks_bad, model.marks_good = mark_words(chosen, classes[0.0] / sum(classes.values()))
 
     def view(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_state("quality")
@@ -231,12 +234,12 @@ def _fit(df: DataFrame, labels: DataFrame, key: str, text: str) -> tuple[Model,
                  pa.array(layout.tolist(), pa.list_(pa.float64())), batch.column("lang"), batch.column("source")],
                 ["id", "content", "layout", "lang", "source"])
 
-    seen, _ = saved(docs.mapInArrow(
-        view, "id long, content array<double>, layout array<double>, lang string, source string"), "quality-views")
+    shape = "id long, content array<double>, layout array<double>, lang string, source string"
+    seen, _ = saved(docs.mapInArrow(view, shape), "quality-views")
     if len(classes) < 2:
         return model, seen
-    rows = seen.join(F.broadcast(sample), "id").orderBy("id", "content").collect()
-    # A fifth of the labelled rows is held out for calibration; several rows of one id stay together.
+    rows = chosen.select(*docs.columns).mapInArrow(view, shape).join(F.broadcast(sample), "id").orderBy("id").collect()
+    # A fifth of the labelled rows is held out for calibration.
     held_out = np.array([(r.id * 2654435761 >> 7) % 5 == 0 for r in rows], dtype=bool)
     train, hold = [r for r, h in zip(rows, held_out) if not h], [r for r, h in zip(rows, held_out) if h]
     if len({r.good for r in train}) < 2 or len({r.good for r in hold}) < 2:
