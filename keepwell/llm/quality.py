@@ -220,10 +220,9 @@ def _fit(df: DataFrame, labels: DataFrame, key: str, text: str) -> tuple[Model,
     classes = {r.good: r.n for r in sample.groupBy("good").agg(F.count(F.lit(1)).alias("n")).collect()}
     model = Model()
     if len(classes) == 2:
-        # One row of each id, however often it is repeated: the least.
-        least = F.min(F.struct("text", "lang", "source", "n_chars")).alias("least")
-        chosen, _ = saved(docs.join(F.broadcast(sample), "id").groupBy("id", "good").agg(least).select("id", "good", "least.*"), "quality-chosen")
-        model.marks_bad, model.marks_good = mark_words(chosen, classes[0.0] / sum(classes.values()))
+        # One row of each id, however often it is repeated.
+        texts = docs.select("id", "text").join(F.broadcast(sample), "id").groupBy("id", "good").agg(F.min("text").alias("text"))
+        model.marks_bad, model.marks_good = mark_words(texts, classes[0.0] / sum(classes.values()))
 
     def view(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_state("quality")
@@ -234,11 +233,12 @@ def _fit(df: DataFrame, labels: DataFrame, key: str, text: str) -> tuple[Model,
                  pa.array(layout.tolist(), pa.list_(pa.float64())), batch.column("lang"), batch.column("source")],
                 ["id", "content", "layout", "lang", "source"])
 
-    shape = "id long, content array<double>, layout array<double>, lang string, source string"
-    seen, _ = saved(docs.mapInArrow(view, shape), "quality-views")
+    seen, _ = saved(docs.mapInArrow(
+        view, "id long, content array<double>, layout array<double>, lang string, source string"), "quality-views")
     if len(classes) < 2:
         return model, seen
-    rows = chosen.select(*docs.columns).mapInArrow(view, shape).join(F.broadcast(sample), "id").orderBy("id").collect()
+    least = F.min(F.struct("content", "layout", "lang", "source")).alias("least")
+    rows = seen.join(F.broadcast(sample), "id").groupBy("id", "good").agg(least).select("id", "good", "least.*").orderBy("id").collect()
     # A fifth of the labelled rows is held out for calibration.
     held_out = np.array([(r.id * 2654435761 >> 7) % 5 == 0 for r in rows], dtype=bool)
     train, hold = [r for r, h in zip(rows, held_out) if not h], [r for r, h in zip(rows, held_out) if h]
