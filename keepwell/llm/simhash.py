@@ -234,8 +234,11 @@ def links(classes: DataFrame) -> DataFrame:
         .mapInArrow(meet, "a long, b long, key long, block int, members binary"), "simhash-links")
     blocks = met.where("members IS NOT NULL").select("key", "block", "members")
     others = blocks.select("key", F.col("block").alias("other"), F.col("members").alias("others"))
-    pairs = blocks.join(others, "key").where("block <= other").select("members", "others").mapInArrow(compare, "a long, b long")
-    return met.where("members IS NULL").select("a", "b").unionByName(pairs)
+    # Each pair of blocks is a task's unit of work; they are dealt out anew, however few keys have them.
+    apart = blocks.join(others, "key").where("block <= other") \
+        .select("key", "block", "other", "members", "others").repartition("key", "block", "other")
+    return met.where("members IS NULL").select("a", "b").unionByName(
+        apart.select("members", "others").mapInArrow(compare, "a long, b long"))
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", words_a_shingle: int = 4) -> DataFrame:
