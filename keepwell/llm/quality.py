@@ -27,6 +27,7 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -88,7 +89,7 @@ def page_view(text: str, n_chars: int | None) -> list[float]:
 
 
 def _bucket(value: str | None, buckets: int) -> int:
-    return 0 if value is None else 1 + sum((i + 1) * b for i, b in enumerate(value.encode()[:64])) % (buckets - 1)
+    return 0 if value is None else 1 + xxhash.xxh64_intdigest(value.encode()) % (buckets - 1)
 
 
 def page_matrix(numbers: np.ndarray, langs: list, sources: list) -> np.ndarray:

@@ -14,3 +14,10 @@ def test_repeated_document(spark, monkeypatch):
     assert sizes and max(sizes) <= 60
     assert "oddword" not in model.marks_bad
     assert quality.score_documents(docs, labels).count() == len(rows)
+
+
+def test_buckets_of_long_sources():
+    """Sources that differ only behind many equal characters have buckets of their own."""
+    found = {quality._bucket("https://example.com/" + "a" * 100 + f"/{i}", quality.SOURCE_BUCKETS) for i in range(500)}
+    assert len(found) > 50 and min(found) > 0 and max(found) < quality.SOURCE_BUCKETS
+    assert quality._bucket(None, quality.SOURCE_BUCKETS) == 0
