@@ -91,8 +91,6 @@ GBT_GRID = {
     "subsample": [0.8, 1.0],
 }
 PERMUTATION_REPEATS = 10
-#: The search that the named queries run, which is small on purpose; their rows name it.
-QUERY_SEARCH = {"folds": 2, "settings": 2, "trees": (20, 40)}
 
 # ---- fixed values: promotion, risk tiers, retention -------------------------
 PRIMARY_METRIC = "roc_auc"
