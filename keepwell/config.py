@@ -88,6 +88,7 @@ GBT_GRID = {
     "n_estimators": [100, 200, 300],
     "max_depth": [3, 5, 7, -1],
     "learning_rate": [0.01, 0.05, 0.1],
+    "num_leaves": [15, 31, 63],
     "subsample": [0.8, 1.0],
 }
 PERMUTATION_REPEATS = 10

@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
-from math import factorial
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -14,8 +13,8 @@ from pyspark.sql import functions as F
 
 from keepwell import config as cfg
 from keepwell.config import Scorecard
+from keepwell.operators.boosting import to_bins
 from keepwell.operators.sampling import background_sample
-from keepwell.sources.scratch import scratch_path
 
 CONTRIBUTIONS = "contributions"
 
@@ -76,95 +75,79 @@ def global_importance(contributed: DataFrame) -> DataFrame:
 # ---- boosted trees -----------------------------------------------------------
 
 
-@dataclass
-class Leaf:
-    """One path of a tree: its value and, per feature used, the interval that
-    leads here and the share of training weight that goes this way."""
-
-    value: float
-    features: list[int]
-    low: list[float]
-    high: list[float]
-    share: list[float]
-
-
-def read_leaves(model) -> list[Leaf]:
-    """Leaves of a fitted boosted-tree model, read from its saved node table.
-
-    Trees x nodes is bounded by the model's own settings.
-    """
-    from pyspark.sql import SparkSession
-    spark = SparkSession.getActiveSession()
-    path = scratch_path(spark, "trees")
-    model.write().save(path)
-    nodes: dict[int, dict[int, object]] = {}
-    rows = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").select(
-        "treeID", "id", "prediction", "leftChild", "rightChild", "split.featureIndex",
-        F.get("impurityStats", F.lit(0)).alias("weight"),
-        F.get("split.leftCategoriesOrThreshold", F.lit(0)).alias("at"))
-    for r in rows.collect():
-        nodes.setdefault(r["treeID"], {})[r["id"]] = r
-    leaves: list[Leaf] = []
-    for tree, tree_weight in enumerate(model.treeWeights):
-        stack = [(nodes[tree][0], {})]
-        while stack:
-            node, path_so_far = stack.pop()
-            if node["leftChild"] < 0:
-                used = sorted(path_so_far)
-                leaves.append(Leaf(tree_weight * node["prediction"], used,
-                                   *[[path_so_far[f][i] for f in used] for i in range(3)]))
-                continue
-            f, at = node["featureIndex"], node["at"]
-            low, high, share = path_so_far.get(f, (-np.inf, np.inf, 1.0))
-            for child_id, lo, hi in ((node["leftChild"], low, min(high, at)),
-                                     (node["rightChild"], max(low, at), high)):
-                child = nodes[tree][child_id]
-                stack.append((child, {**path_so_far, f: (
-                    lo, hi, share * child["weight"] / node["weight"])}))
-    return leaves
-
-
-def tree_values(x: np.ndarray, leaves: list[Leaf], width: int) -> np.ndarray:
+def tree_values(x: np.ndarray, model) -> np.ndarray:
     """Path-dependent Shapley values of every row, plus the base value in the last column.
 
-    A leaf pays out value x product over its features of "row follows the path"
-    (known) or the training share (unknown).  The Shapley value of such a
-    product needs, per feature, the elementary symmetric sums over the others.
+    A leaf pays out its value x product over its features of "row follows the path" (known)
+    or the training share (unknown).  The Shapley weights of subsets of size s are integrals of
+    t^s (1-t)^(m-1-s) over [0, 1], so a feature's value is (follows - share) x value x the
+    integral of the product over the other features of t follows + (1-t) share: a
+    polynomial, which Gauss's rule integrates exactly.  The products are carried down the tree
+    and their sums up again, once for every node, whatever the number of features on its paths.
     """
-    out = np.zeros((len(x), width + 1))
-    for leaf in leaves:
-        m = len(leaf.features)
-        out[:, width] += leaf.value * float(np.prod(leaf.share))
-        if m == 0:
-            continue
-        cols = x[:, leaf.features]
-        follows = ((cols > np.array(leaf.low)) & (cols <= np.array(leaf.high))).astype(float)
-        weight = [factorial(s) * factorial(m - 1 - s) / factorial(m) for s in range(m)]
-        for i, f in enumerate(leaf.features):
-            poly = np.zeros((len(x), m))
-            poly[:, 0] = 1.0
-            for j in range(m):
-                if j != i:
-                    known = poly[:, :-1] * follows[:, j, None]
-                    poly = poly * leaf.share[j]
-                    poly[:, 1:] += known
-            out[:, f] += leaf.value * (follows[:, i] - leaf.share[i]) * (poly @ np.array(weight))
+    out = np.zeros((len(x), model.numFeatures + 1))
+    out[:, -1] = model.start
+    bins = to_bins(x, model.cuts)
+    for tree in model.trees:
+        _tree_values(bins, tree, out)
     return out
 
 
+def _most_features(tree) -> int:
+    """Different features on a path, at most."""
+    most, stack = 1, [(0, frozenset())]
+    while stack:
+        node, used = stack.pop()
+        most = max(most, len(used))
+        if tree.feature[node] >= 0:
+            below = used | {int(tree.feature[node])}
+            stack += [(tree.left[node], below), (tree.right[node], below)]
+    return most
+
+
+def _tree_values(bins: np.ndarray, tree, out: np.ndarray) -> None:
+    at, weights = np.polynomial.legendre.leggauss((_most_features(tree) + 1) // 2)
+    t, weights = (at + 1) / 2, weights / 2
+    n = len(bins)
+
+    def below(node: int, product: np.ndarray, path: dict, share: float) -> np.ndarray:
+        """Sum over the leaves under a node of value x product, at each point of the rule."""
+        f = int(tree.feature[node])
+        if f < 0:
+            out[:, -1] += tree.value[node] * share
+            return tree.value[node] * product
+        goes_left = bins[:, f] <= tree.cut[node]
+        before = path.get(f)
+        total = np.zeros((n, len(t)))
+        for child, goes in ((tree.left[node], goes_left), (tree.right[node], ~goes_left)):
+            part = float(tree.weight[child] / tree.weight[node])
+            follows, own = (goes, part) if before is None else (before[0] & goes, before[1] * part)
+            factor = np.where(follows[:, None], t + (1 - t) * own, (1 - t) * own)
+            moved = product * factor if before is None else product / before[2] * factor
+            sums = below(child, moved, {**path, f: (follows, own, factor)}, share * part)
+            out[:, f] += (follows - own) * ((sums / factor) @ weights)
+            if before is not None:
+                # The condition higher up has counted these leaves with its own factor.
+                out[:, f] -= (before[0] - before[1]) * ((sums / before[2]) @ weights)
+            total += sums
+        return total
+
+    below(0, np.ones((n, len(t))), {}, 1.0)
+
+
 def tree_contributions(matrix: DataFrame, model, features: Sequence[str],
                        vector: str = "features", keep: Sequence[str] = (cfg.ID,)) -> DataFrame:
     """Kept columns, contributions, base_value and margin per row; contributions
     and base value add up to the margin.
     """
-    leaves = read_leaves(model)
     names, keep = list(features), list(keep)
     kinds = dict(matrix.dtypes)
+    parts = SimpleNamespace(cuts=model.cuts, start=model.start, trees=model.trees, numFeatures=model.numFeatures)
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                values = tree_values(np.array(pdf["x"].tolist()), leaves, len(names))
+                values = tree_values(np.stack(pdf["x"].to_numpy()), parts)
                 yield pdf[[*keep, "margin"]].assign(
                     values=list(values[:, :-1]), base_value=values[:, -1])
 

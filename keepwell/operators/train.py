@@ -8,18 +8,16 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keepwell import config as cfg
 from keepwell.functions.columns import model_label
 from keepwell.functions.ordered import hash_rank
-from keepwell.operators import evaluate, registry
+from keepwell.operators import boosting, evaluate, newton, registry
 from keepwell.operators.clean import keep_first
 from keepwell.operators.encode import Preprocessing
 from keepwell.operators.sampling import seeded_hash, stratified_folds, stratified_split
@@ -27,7 +25,6 @@ from keepwell.operators.smote import balance
 from keepwell.sources.scratch import materialize
 
 LOGISTIC, GBT = registry.FIRST, registry.SECOND
-UNLIMITED_DEPTH = 10  # depth used where a setting says "no limit"
 
 
 @dataclass(frozen=True)
@@ -42,7 +39,6 @@ class Budget:
     folds: int = cfg.CV_FOLDS
     settings: int = cfg.SEARCH_SETTINGS
     trees: tuple[int, ...] = tuple(cfg.GBT_GRID["n_estimators"])
-    parallelism: int = 4
 
 
 def assemble(matrix: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -79,22 +75,13 @@ def logistic(total_weight: float, c: float = 1.0) -> LogisticRegression:
 
 
 def gbt(trees: int = cfg.GBT_GRID["n_estimators"][0], depth: int = 3, step: float = 0.1, subsample: float = 1.0,
-        seed: int = cfg.SEED) -> GBTClassifier:
-    return GBTClassifier(
-        featuresCol="features", labelCol="label", weightCol="weight", maxIter=trees,
-        maxDepth=depth if depth > 0 else UNLIMITED_DEPTH, stepSize=step,
-        subsamplingRate=subsample, seed=seed)
+        leaves: int = 31, key: str | None = cfg.ID) -> boosting.BoostedTrees:
+    return boosting.BoostedTrees(boosting.Setting(depth, leaves, step, subsample), trees, key)
 
 
-def settings_for(name: str, estimator, total_weight: float, budget: Budget) -> list[tuple]:
-    """(readable settings, parameter map) of the sampled grid."""
-    if name == LOGISTIC:
-        return [({"C": c}, {estimator.regParam: 1.0 / (c * total_weight)}) for c in cfg.LOGISTIC_C]
-    return [(s, {
-        estimator.maxIter: s["n_estimators"],
-        estimator.maxDepth: s["max_depth"] if s["max_depth"] > 0 else UNLIMITED_DEPTH,
-        estimator.stepSize: s["learning_rate"], estimator.subsamplingRate: s["subsample"]})
-        for s in sampled_grid(budget)]
+def setting_of(s: dict) -> boosting.Setting:
+    """What tells one fit from another: numbers of trees are prefixes of the same fit."""
+    return boosting.Setting(s["max_depth"], s["num_leaves"], s["learning_rate"], s["subsample"])
 
 
 def sampled_grid(budget: Budget) -> list[dict]:
@@ -114,25 +101,49 @@ class Tuned:
 
 def tune(train: DataFrame, budget: Budget, names: Sequence[str] = (LOGISTIC, GBT)) \
         -> dict[str, Tuned]:
-    """Cross-validated search per candidate; folds run as concurrent jobs.
+    """Cross-validated search per candidate: all its settings and folds are fitted together.
 
-    `train` holds label, weight, fold and features.
+    `train` holds the id, label, weight, fold and features.  A setting's score is the mean AUC
+    of the folds that have both classes; ties go to the first setting.
     """
+    searches = {LOGISTIC: _search_logistic, GBT: _search_trees}
+    return {name: searches[name](train, budget) for name in names}
+
+
+def _best(options: list[dict], found: dict[int, list[float]]) -> tuple[int, list[tuple]]:
+    results = [(s, sum(found[i]) / len(found[i]) if found.get(i) else float("nan")) for i, s in enumerate(options)]
+    return max(range(len(options)), key=lambda i: (results[i][1] == results[i][1], results[i][1], -i)), results
+
+
+def _search_logistic(train: DataFrame, budget: Budget) -> Tuned:
+    each = [(i, c, fold) for i, c in enumerate(cfg.LOGISTIC_C) for fold in range(budget.folds)]
+    lines = newton.fit_all(train, [(c, fold) for _, c, fold in each])
+    found: dict[int, list[float]] = {}
+    for r in evaluate.roc_auc(newton.held_out(train, lines), by=["fit"]).collect():
+        if r["roc_auc"] is not None:
+            found.setdefault(each[r["fit"]][0], []).append(r["roc_auc"])
+    options = [{"C": c} for c in cfg.LOGISTIC_C]
+    best, results = _best(options, found)
     total = float(train.agg(F.sum("weight")).first()[0])
-    out = {}
-    for name in names:
-        estimator = logistic(total) if name == LOGISTIC else gbt()
-        options = settings_for(name, estimator, total, budget)
-        search = CrossValidator(
-            estimator=estimator, estimatorParamMaps=[m for _, m in options],
-            evaluator=BinaryClassificationEvaluator(numBins=0), numFolds=budget.folds,
-            foldCol="fold", parallelism=budget.parallelism, seed=cfg.SEED)
-        fitted = search.fit(train)
-        scores = list(fitted.avgMetrics)
-        best = max(range(len(scores)), key=lambda i: scores[i])
-        out[name] = Tuned(name, fitted.bestModel, options[best][0],
-                          [(options[i][0], scores[i]) for i in range(len(scores))])
-    return out
+    return Tuned(LOGISTIC, logistic(total, options[best]["C"]).fit(train), options[best], results)
+
+
+def _search_trees(train: DataFrame, budget: Budget) -> Tuned:
+    options = sampled_grid(budget)
+    stops: dict[boosting.Setting, set[int]] = {}
+    for s in options:
+        stops.setdefault(setting_of(s), set()).add(s["n_estimators"])
+    fits = [boosting.Fit(s, fold, tuple(sorted(at))) for s, at in stops.items() for fold in range(budget.folds)]
+    cuts = boosting.bin_cuts(train)
+    scores, _ = boosting.fit_all(boosting.binned(train, cuts, cfg.ID), fits, max(map(len, cuts)) + 1)
+    found: dict[int, list[float]] = {}
+    for (m, trees), value in sorted(scores.items()):
+        for i, s in enumerate(options):
+            if value is not None and (setting_of(s), s["n_estimators"]) == (fits[m].setting, trees):
+                found.setdefault(i, []).append(value)
+    best, results = _best(options, found)
+    chosen = options[best]
+    return Tuned(GBT, boosting.BoostedTrees(setting_of(chosen), chosen["n_estimators"], cfg.ID).fit(train), chosen, results)
 
 
 def scored_rows(model, data: DataFrame, name: str) -> DataFrame:
@@ -143,12 +154,13 @@ def scored_rows(model, data: DataFrame, name: str) -> DataFrame:
 
 
 def native_importance(model, features: Sequence[str], spark) -> DataFrame:
-    """|coefficient| or tree importance per feature, a table of one row per feature."""
+    """|coefficient|, or a feature's share of all gains and its number of splits: one row per feature."""
     values = getattr(model, "featureImportances", None)
     values = values.toArray() if values is not None else abs(model.coefficients.toArray())
+    splits = model.splitCounts.toArray() if hasattr(model, "splitCounts") else [None] * len(values)
     return spark.createDataFrame(
-        [(f, float(v)) for f, v in zip(features, values)], "feature string, importance double") \
-        .orderBy(F.desc("importance"), "feature")
+        [(f, float(v), None if n is None else int(n)) for f, v, n in zip(features, values, splits)],
+        "feature string, importance double, splits long").orderBy(F.desc("importance"), "feature")
 
 
 def permutation_importance(model, data: DataFrame, features: Sequence[str],

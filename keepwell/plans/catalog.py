@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from keepwell import config as cfg
 from keepwell.functions.columns import micro, model_label, select_or_zero
 from keepwell.operators import (
-    clean, encode, evaluate, explain, features, redact, registry, reports, sampling, score,
-    segment, smote, train, validate)
+    clean, encode, evaluate, explain, features, newton, redact, registry, reports, sampling,
+    score, segment, smote, train, validate,
+)
 from keepwell.operators.encode import Preprocessing
 from keepwell.plans import base
 from keepwell.plans import train_job as jobs
@@ -427,19 +428,19 @@ def smote_balance(spark, sf_dir):
                      F.count_if(F.col("off")).alias("n_off_segment"))
 
 
-def _training(spark, sf_dir, smote_rows=True, budget=None):
-    return train.prepare_training(base.raw(spark, sf_dir), budget or train.Budget(), smote=smote_rows)
+def _training(spark, sf_dir, budget=None):
+    return train.prepare_training(base.raw(spark, sf_dir), budget or train.Budget())
 
 
 @query
 def tuning_grid(spark, sf_dir):
     """The whole published search: every setting of both candidates, with each fold's class sizes."""
     budget = train.Budget()
-    settings = [(train.LOGISTIC, i, c, None, None, None, None) for i, c in enumerate(cfg.LOGISTIC_C)]
-    settings += [(train.GBT, i, None, s["n_estimators"], s["max_depth"], s["learning_rate"], s["subsample"])
+    settings = [(train.LOGISTIC, i, c, None, None, None, None, None) for i, c in enumerate(cfg.LOGISTIC_C)]
+    settings += [(train.GBT, i, None, s["n_estimators"], s["max_depth"], s["learning_rate"], s["num_leaves"], s["subsample"])
                  for i, s in enumerate(train.sampled_grid(budget))]
     grid = spark.createDataFrame(settings, "model string, setting int, c double, n_estimators int, max_depth int, "
-                                           "learning_rate double, subsample double")
+                                           "learning_rate double, num_leaves int, subsample double")
     folds = sampling.stratified_folds(_labelled_ids(spark, sf_dir), budget.folds).groupBy("fold").agg(
         F.count_if(F.col("label") == 1).alias("n_yes"), F.count_if(F.col("label") == 0).alias("n_no"))
     every = F.explode(F.sequence(F.lit(0), F.lit(budget.folds - 1)))
@@ -457,7 +458,7 @@ def training_rows(spark, sf_dir):
 @query
 def model_invariants(spark, sf_dir):
     """(check_name, n): what must hold of any fit, counted: rows, and violations (0)."""
-    data = _training(spark, sf_dir, smote_rows=False)
+    data = _training(spark, sf_dir)
     total = float(data.train.agg(F.sum("weight")).first()[0])
     linear, trees = train.logistic(total).fit(data.train), train.gbt().fit(data.train)
     rows = train.scored_rows(linear, data.test, train.LOGISTIC).unionByName(
@@ -534,9 +535,31 @@ def tuning_results(spark, sf_dir):
         "model string, settings string, mean_auc double, folds int, sampled_settings int, trees array<int>")
 
 
+@query
+def search_invariants(spark, sf_dir):
+    """(check_name, n): what must hold of any search, counted: settings tried, and violations (0)."""
+    budget = train.Budget()
+    data = _training(spark, sf_dir, budget=budget)
+    tuned = train.tune(data.train, budget)
+    checks = []
+    for t in tuned.values():
+        scores = [auc for _, auc in t.results]
+        checks += [(f"settings of {t.name}", len(scores)), (f"scores of {t.name} not above chance", sum(not 0.5 < x <= 1 for x in scores)),
+                   (f"better settings of {t.name} than the chosen", sum(x > dict((str(s), a) for s, a in t.results)[str(t.params)] for x in scores))]
+    # Every line of the search stands where its objective is flat.
+    lines = newton.fit_all(data.train, [(c, fold) for c in cfg.LOGISTIC_C for fold in range(budget.folds)])
+    checks += [("lines", len(lines)), ("lines off the optimum", sum(line.slope > 1e-6 for line in lines))]
+    trees = tuned[train.GBT]
+    checks += [("trees off their number", abs(len(trees.model.trees) - trees.params["n_estimators"])),
+               ("trees with too many leaves", sum(int((t.feature < 0).sum()) > trees.params["num_leaves"] for t in trees.model.trees))]
+    rows = train.scored_rows(trees.model, data.test, train.GBT)
+    counted = rows.agg(F.lit("holdout rows").alias("check_name"), F.count(F.lit(1)).alias("n"))
+    return spark.createDataFrame([(a, int(b)) for a, b in checks], "check_name string, n long").unionByName(counted)
+
+
 @query
 def fit_logistic(spark, sf_dir):
-    data = _training(spark, sf_dir, smote_rows=False)
+    data = _training(spark, sf_dir)
     total = float(data.train.agg(F.sum("weight")).first()[0])
     model = train.logistic(total).fit(data.train)
     return train.scored_rows(model, data.test, train.LOGISTIC)
@@ -544,7 +567,7 @@ def fit_logistic(spark, sf_dir):
 
 @query
 def fit_gbt(spark, sf_dir):
-    data = _training(spark, sf_dir, smote_rows=False)
+    data = _training(spark, sf_dir)
     return train.scored_rows(train.gbt().fit(data.train), data.test, train.GBT)
 
 
@@ -590,7 +613,7 @@ def _fitted_gbt(spark, sf_dir):
     prep, engineered = base.preprocessed(spark, sf_dir)
     vectors = train.vectors(prep, engineered)
     labelled = train.with_class_weight(vectors.where("label is not null"))
-    return train.gbt().fit(labelled.select("label", "weight", "features")), prep, vectors
+    return train.gbt().fit(labelled.select(cfg.ID, "label", "weight", "features")), prep, vectors
 
 
 @query

@@ -501,12 +501,13 @@ def oracle_sql() -> dict[str, str]:
     sql["stratified_split"] = _with(SUBSCRIBERS, f"SELECT customerID, label, CAST(r <= ceil(0.2E0 * n) AS INT) AS is_test FROM ({_SPLIT})")
     sql["training_rows"] = _with(SUBSCRIBERS, f"SELECT label, CAST(r <= ceil(0.2E0 * n) AS INT) AS is_test, count(*) AS n FROM ({_SPLIT}) WHERE label IS NOT NULL GROUP BY ALL")
     number = lambda x: "NULL" if x is None else str(x)
-    settings = [("logistic_regression", i, c, None, None, None, None) for i, c in enumerate(cfg.LOGISTIC_C)]
+    settings = [("logistic_regression", i, c, None, None, None, None, None) for i, c in enumerate(cfg.LOGISTIC_C)]
     settings += [("gbt", i, None, *s.values()) for i, s in enumerate(_sampled_settings())]
     values = ", ".join(f"('{name}', {', '.join(map(number, rest))})" for name, *rest in settings)
     sql["tuning_grid"] = _with(SUBSCRIBERS, f"""SELECT fold, model, CAST(setting AS INT) AS setting, CAST(c AS DOUBLE) AS c, CAST(n_estimators AS INT) AS n_estimators,
-      CAST(max_depth AS INT) AS max_depth, CAST(learning_rate AS DOUBLE) AS learning_rate, CAST(subsample AS DOUBLE) AS subsample, n_yes, n_no
-      FROM (VALUES {values}) AS g(model, setting, c, n_estimators, max_depth, learning_rate, subsample),
+      CAST(max_depth AS INT) AS max_depth, CAST(learning_rate AS DOUBLE) AS learning_rate, CAST(num_leaves AS INT) AS num_leaves,
+      CAST(subsample AS DOUBLE) AS subsample, n_yes, n_no
+      FROM (VALUES {values}) AS g(model, setting, c, n_estimators, max_depth, learning_rate, num_leaves, subsample),
       (SELECT CAST((r - 1) % 5 AS INT) AS fold, count(*) FILTER (WHERE label = 1) AS n_yes, count(*) FILTER (WHERE label = 0) AS n_no
        FROM ({_SPLIT}) WHERE label IS NOT NULL GROUP BY 1)""")
     held = f"SELECT count(*) FROM ({_SPLIT}) WHERE label IS NOT NULL AND r <= ceil(0.2E0 * n)"
@@ -515,6 +516,10 @@ def oracle_sql() -> dict[str, str]:
                                    "negative importances of logistic_regression", "negative importances of gbt")],
               *[(c, "46") for c in ("features of logistic_regression", "features of gbt", "permuted features")]]
     sql["model_invariants"] = _with(SUBSCRIBERS, " UNION ALL ".join(f"SELECT '{c}' AS check_name, CAST({n} AS BIGINT) AS n" for c, n in checks))
+    searched = [("settings of logistic_regression", "4"), ("settings of gbt", "15"), ("lines", "20"), ("holdout rows", f"({held})"),
+                *[(c, "0") for c in ("scores of logistic_regression not above chance", "scores of gbt not above chance", "better settings of logistic_regression than the chosen",
+                                     "better settings of gbt than the chosen", "lines off the optimum", "trees off their number", "trees with too many leaves")]]
+    sql["search_invariants"] = _with(SUBSCRIBERS, " UNION ALL ".join(f"SELECT '{c}' AS check_name, CAST({n} AS BIGINT) AS n" for c, n in searched))
     sql["kmeans_invariants"] = _with(SUBSCRIBERS, "SELECT count(*) AS n_rows, CAST(5 AS BIGINT) AS n_clusters, CAST(0 AS BIGINT) AS n_off FROM raw")
     sql["score_without_ids"] = _with(SUBSCRIBERS, "SELECT CAST(gender = 'Female' AS INT) AS anonymous, count(*) AS n, count(*) AS n_scored FROM raw GROUP BY 1")
     sql["stream_quarantine"] = _with(SUBSCRIBERS, f"SELECT * FROM (SELECT customerID, concat_ws('; ', {', '.join(_RULES)}) AS violations FROM raw) WHERE violations <> ''")

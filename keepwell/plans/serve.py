@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.classification import GBTClassificationModel, LogisticRegressionModel
+from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keepwell import config as cfg
 from keepwell.operators import registry, reports, score, train
+from keepwell.operators.boosting import BoostedTreesModel
 from keepwell.operators.encode import Preprocessing
 from keepwell.operators.explain import CONTRIBUTIONS, with_explanation
 from keepwell.operators.segment import Segmentation
@@ -18,7 +19,7 @@ from keepwell.plans.train_job import contributions, latest_decision, serving_mod
 from keepwell.sources.runs import RunStore
 from keepwell.sources.subscribers import path_exists
 
-_KINDS = {registry.FIRST: LogisticRegressionModel, registry.SECOND: GBTClassificationModel}
+_KINDS = {registry.FIRST: LogisticRegressionModel, registry.SECOND: BoostedTreesModel}
 
 
 @dataclass

@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -169,8 +170,9 @@ def test_tree_contributions_are_shapley_values(spark):
     names = list("abcd")
     data = train.assemble(spark.createDataFrame(pdf), names)
     model = train.gbt(trees=4, depth=3).fit(data)
-    leaves = explain.read_leaves(model)
-    got = explain.tree_values(pdf[names].to_numpy()[:25], leaves, 4)
+    leaves = [SimpleNamespace(value=v, features=list(p), low=[b[0] for b in p.values()], high=[b[1] for b in p.values()], share=[b[2] for b in p.values()])
+              for v, p in model.leaves()]
+    got = explain.tree_values(pdf[names].to_numpy()[:25], model)
     for i in range(25):
         want = _brute_shapley(leaves, pdf[names].to_numpy()[i], 4)
         assert got[i, :4] == pytest.approx(want, abs=1e-9)
