@@ -29,16 +29,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from keepwell.llm.common import ragged, text_batches, text_slices, without, worker_state
+from keepwell.llm.common import ragged, text_batches, text_slices, tidy, without, worker_state
 
 #: Words whose tokens a Python worker remembers, some 45 bytes each; beyond that it starts anew.
 CACHE_WORDS = 2_000_000
 #: Words that one recursive query contracts.
-WORDS_A_QUERY = 40_000
+WORDS_A_QUERY = 10_000
 #: Text bytes that are encoded at a time.
-TEXT_BYTES = 8 << 20
+TEXT_BYTES = 2 << 20
 #: Token rows that one decoding query takes.
-TOKENS_A_QUERY = 2 << 20
+TOKENS_A_QUERY = 1 << 19
 
 #: k: word << 32 | byte position, nk and ntok: key and token of the successor, r: rank of the
 #: pair of both, best: least rank in the word.  A round contracts the word's leftmost pair of
@@ -174,7 +174,7 @@ class Codec(Memory):
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, blob.splitlines()) if a}
         self.pattern = regex.compile(white_space(pattern))
         self.con = duckdb.connect()
-        for setting in ("threads = 1", "memory_limit = '400MB'", "preserve_insertion_order = true",
+        for setting in ("threads = 1", "memory_limit = '400MB'", "temp_directory = ''", "preserve_insertion_order = true",
                         "allocator_flush_threshold = '4MB'", "allocator_bulk_deallocation_flush_threshold = '4MB'"):
             self.run(f"SET {setting}")
         self.load("merges", _merge_rows(self.ranks))
@@ -306,7 +306,7 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids
                     [*part.columns, pa.ListArray.from_arrays(ends, pa.array(flat, pa.int32()))],
                     [*part.schema.names, ids])
 
-    return df.mapInArrow(run, T.StructType([*df.schema, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
+    return df.mapInArrow(tidy(run), T.StructType([*df.schema, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
 
 
 def decode(df: DataFrame, vocabulary: str, pattern: str, ids: str = "token_ids",
@@ -326,7 +326,7 @@ def decode(df: DataFrame, vocabulary: str, pattern: str, ids: str = "token_ids",
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(own.decode(flat, sizes), pa.binary())], [*batch.schema.names, decoded])
 
-    return df.mapInArrow(run, T.StructType([*df.schema, T.StructField(decoded, T.BinaryType())]))
+    return df.mapInArrow(tidy(run), T.StructType([*df.schema, T.StructField(decoded, T.BinaryType())]))
 
 
 def round_trip(df: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -353,6 +353,6 @@ def round_trip(df: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id"
                     pa.array([hashlib.sha256(x).hexdigest() for x in own.decode(flat, sizes)])],
                     [key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return df.mapInArrow(run, T.StructType([
+    return df.mapInArrow(tidy(run), T.StructType([
         df.schema[key], T.StructField("n_tokens", T.LongType()),
         T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]))

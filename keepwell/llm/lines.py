@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keepwell.llm.common import BLANKS, quoted, rows_back, saved, text_batches, whole_rows, worker_state
+from keepwell.llm.common import BLANKS, quoted, rows_back, saved, text_batches, tidy, whole_rows, worker_state
 
 #: Bits of each filter for a line of the table, and bits that a key sets.
 BITS_A_LINE, PROBES = 8, 2

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keepwell.llm.common import quoted, rows_back, saved, text_batches, worker_state
+from keepwell.llm.common import quoted, rows_back, saved, text_batches, tidy, worker_state
 
 #: Labelled documents that the views are fitted and calibrated on, at most.
 LABELLED_ROWS = 20_000
@@ -316,7 +316,7 @@ def _score(seen: DataFrame, model: Model) -> DataFrame:
                                              [*batch.schema.names, "text_score", "page_score", "score"])
 
     extra = [T.StructField(n, T.DoubleType()) for n in ("text_score", "page_score", "score")]
-    return seen.mapInArrow(run, T.StructType([*seen.schema, *extra]))
+    return seen.mapInArrow(tidy(run), T.StructType([*seen.schema, *extra]))
 
 
 def _confident(fresh: DataFrame, model: Model, sure: dict) -> DataFrame | None:
@@ -353,5 +353,5 @@ def keep_good(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
                 good = pa.array(model.scores(*_views(batch, model))[:, 2] >= KEEP_FROM)
                 yield pa.RecordBatch.from_arrays([batch.column("row").filter(good), batch.column("text").filter(good)], ["row", "text"])
 
-    kept = slim.mapInArrow(run, T.StructType([slim.schema["row"], T.StructField("text", T.StringType())]))
+    kept = slim.mapInArrow(tidy(run), T.StructType([slim.schema["row"], T.StructField("text", T.StringType())]))
     return rows_back(kept, df, **{text: F.col("text")})

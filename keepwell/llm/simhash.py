@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keepwell.llm.common import saved, text_batches, worker_state
+from keepwell.llm.common import saved, text_batches, tidy, worker_state
 from keepwell.llm.components import components
 
 #: Differing bits at which fingerprints still link.  The keys are made for just this number.
@@ -86,7 +86,7 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", words_a
                 [batch.column("id"), pa.array(np.array(found, dtype=np.uint64).view(np.int64))], ["id", "fp"])
 
     return df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")) \
-        .mapInArrow(run, "id long, fp long")
+        .mapInArrow(tidy(run), "id long, fp long")
 
 
 class Golay:
@@ -230,15 +230,15 @@ def links(classes: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
     met, _ = saved(
-        classes.select("fp").mapInArrow(emit, "key long, fp long").repartition("key").sortWithinPartitions("key")
-        .mapInArrow(meet, "a long, b long, key long, block int, members binary"), "simhash-links")
+        classes.select("fp").mapInArrow(tidy(emit), "key long, fp long").repartition("key").sortWithinPartitions("key")
+        .mapInArrow(tidy(meet), "a long, b long, key long, block int, members binary"), "simhash-links")
     blocks = met.where("members IS NOT NULL").select("key", "block", "members")
     others = blocks.select("key", F.col("block").alias("other"), F.col("members").alias("others"))
     # Each pair of blocks is a task's unit of work; they are dealt out anew, however few keys have them.
     apart = blocks.join(others, "key").where("block <= other") \
         .select("key", "block", "other", "members", "others").repartition("key", "block", "other")
     return met.where("members IS NULL").select("a", "b").unionByName(
-        apart.select("members", "others").mapInArrow(compare, "a long, b long"))
+        apart.select("members", "others").mapInArrow(tidy(compare), "a long, b long"))
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", words_a_shingle: int = 4) -> DataFrame:

@@ -37,8 +37,11 @@ from keepwell.llm.common import quoted, rows_back, saved, text_batches, whole_ro
 
 #: Entities with later attempts that are sent to every task, at most.
 SENT_ROWS = 100_000
-#: Attempts after which a surrogate gets a character more for each further one, so that formats never run out.
+#: Attempts after which a surrogate gets a character more for each further one, so that formats never run out.  Addresses
+#: can't get longer: those in 192.168/16 then leave it for 10/8, and after as many attempts again all become unique local IPv6.
 LONGER_FROM = 12
+#: Rounds of draws after which something else than chance must be wrong.
+MOST_ROUNDS = 200
 
 #: Titles and common given names, by gender.
 TITLES = {"Mr": "m", "Mister": "m", "Herr": "m", "Monsieur": "m", "Señor": "m", "Sr": "m",
@@ -196,7 +199,9 @@ def surrogate(key: bytes, kind: str, form: str, attempt: int) -> str:
         return "".join(_like(draw, c) for c in local + more) + "@" + "".join(_like(own, c) for c in labels) + "." + ending
     if kind == "ip":
         a, b, c, d = map(int, form.split("."))
-        kept = [a] if a in (10, 127) else [a, b] if (a, b) == (192, 168) else []
+        if attempt >= 2 * LONGER_FROM:
+            return "fd" + ":".join(f"{draw.below(1 << 16):04x}" for _ in range(8))[2:]
+        kept = [a] if a in (10, 127) else [] if (a, b) != (192, 168) else [a, b] if attempt < LONGER_FROM else [10]
         low = 0 if kept else 11
         first = kept or [low + draw.below(116)]
         return ".".join(map(str, [*first, *(1 + draw.below(254) for _ in range(4 - len(first)))]))
@@ -273,7 +278,10 @@ def attempts(found: DataFrame, key: bytes) -> DataFrame:
     real, _ = saved(found.select("kind", "form").distinct(), "entities")
     taken = real.select(pool, F.col("form").alias("drawn")).distinct()
     waiting, settled = real.withColumn("attempt", F.lit(0)), None
+    rounds = 0
     while waiting.first() is not None:
+        if (rounds := rounds + 1) > MOST_ROUNDS:
+            raise ValueError(f"{waiting.count()} entities without a surrogate after {MOST_ROUNDS} rounds")
         tried, _ = saved(waiting.mapInArrow(run, "kind string, form string, attempt int, drawn string")
                          .withColumn("pool", pool), "surrogates")
         free = tried.join(taken, ["pool", "drawn"], "left_anti")

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keepwell.llm.common import quoted, ragged, text_batches, worker_state
+from keepwell.llm.common import quoted, ragged, text_batches, tidy, worker_state
 
 WINDOW = 5
 COVERAGE = 0.5
@@ -223,7 +223,7 @@ def item_windows(benchmark: DataFrame, item: str = "item_id", text: str = "text"
 
     return benchmark.select(F.col(item).cast("long").alias("item"), F.col(text).alias("text")) \
         .where("item IS NOT NULL AND text IS NOT NULL") \
-        .mapInArrow(run, "h long, item long, reading int, place long, windows long, length int, whole long, item_slots array<long>")
+        .mapInArrow(tidy(run), "h long, item long, reading int, place long, windows long, length int, whole long, item_slots array<long>")
 
 
 def _field_of(windows: DataFrame) -> tuple[np.ndarray, list[tuple[int, int]]]:
@@ -242,7 +242,7 @@ def _field_of(windows: DataFrame) -> tuple[np.ndarray, list[tuple[int, int]]]:
             if bits.any():
                 yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk], pa.int32()), "bits": pa.array([bits.tobytes()], pa.binary())})
 
-    for r in windows.select("h").coalesce(8).mapInArrow(run, "chunk int, bits binary").toLocalIterator():
+    for r in windows.select("h").coalesce(8).mapInArrow(tidy(run), "chunk int, bits binary").toLocalIterator():
         field[r.chunk] |= np.frombuffer(r.bits, np.uint8)
     lengths = sorted(map(tuple, windows.select("reading", "length").distinct().collect()))
     return np.unpackbits(field.ravel()), lengths
@@ -278,7 +278,7 @@ def hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
                      pa.array(at - begins[row], pa.int64()), pa.array((ends - begins)[row], pa.int64()), _slots(kind, value, at, length)],
                     ["id", "mark", "h", "at", "size", "doc_slots"])
 
-    return docs.mapInArrow(run, "id long, mark long, h long, at long, size long, doc_slots array<long>")
+    return docs.mapInArrow(tidy(run), "id long, mark long, h long, at long, size long, doc_slots array<long>")
 
 
 def contaminations(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -129,3 +129,18 @@ def test_cases(spark):
     one, two = by[4].text.split()
     assert one.lower() == two.lower() != "a@b.example.com" and "c@d" not in by[None].text
     assert sg.replace_entities(df.limit(0), KEY).count() == 0
+
+
+def test_whole_private_range(spark):
+    """All addresses of 192.168/16 that can be drawn are entities: their surrogates leave the range, distinct, none of them real."""
+    texts = [(a, " ".join(f"192.168.{a}.{b}" for b in range(1, 255))) for a in range(1, 255)]
+    out = sg.replace_entities(spark.createDataFrame(texts, "doc_id long, text string"), key=b"k").collect()
+    real = {x for _, t in texts for x in t.split()}
+    drawn = [x for r in out for x in r.text.split()]
+    assert len(drawn) == len(real) == 64_516 and len(set(drawn)) == len(drawn) and not set(drawn) & real
+    assert all(x.startswith(("10.", "fd")) for x in drawn)
+
+
+def test_addresses_never_run_out():
+    forms = {sg.surrogate(b"k", "ip", "192.168.1.1", a) for a in range(60)}
+    assert len(forms) >= 59 and {f.split(".")[0] for f in forms if "." in f} == {"192", "10"} and any(f.startswith("fd") for f in forms)
