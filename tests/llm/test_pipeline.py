@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).parent))
 import corpus_pipeline as cp  # noqa: E402
 from test_lines import plain as plain_lines  # noqa: E402
-from test_simhash import plain_components, plain_fingerprint  # noqa: E402
+from test_shingles import plain_components  # noqa: E402
 from test_templates import plain_hits  # noqa: E402
 
 from keepwell.llm import quality  # noqa: E402
@@ -48,11 +48,8 @@ def test_lines(stages):
 
 def test_near_duplicates(stages):
     docs = pairs(stages[2])
-    fps = {i: plain_fingerprint(t, cp.SHINGLE_WORDS) for i, t in docs}
-    label, least = plain_components(fps.values()), {}
-    for i, f in fps.items():
-        least[label[f]] = min(i, least.get(label[f], i))
-    assert sorted(pairs(stages[3])) == sorted((i, t) for i, t in docs if least[label[fps[i]]] == i)
+    least = plain_components(docs)
+    assert sorted(pairs(stages[3])) == sorted((i, t) for i, t in docs if least[i] == i)
 
 
 def test_benchmark(spark, sf_dir, stages):
@@ -84,3 +81,5 @@ def test_odd_rows(spark, sf_dir):
         assert last.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and last.count() == now.count()
     near = cp.one_of_each(spark, docs, sf_dir)
     assert sorted(str(r.doc_id) for r in near.collect()) == ["1", "3", "5", "6", "None", "None"]
+    two = cp.one_of_each(spark, spark.createDataFrame([(1, "a b c d e f g"), (1, "t u v w x y z")], "doc_id long, text string"), sf_dir)
+    assert two.count() == 2

@@ -13,8 +13,8 @@ CHANGED = "A train leaves the station at 7 with Bob and travels 85 miles before
 MUDDLED = "A train leaves the station at 7 with Bob and travels 85 miles before Eve eats 12 apples, then 14 cups more. How far did it go?"
 
 
-def plain_tokens(text):
-    """[(kind, value)] by the rules, one token at a time."""
+def plain_tokens(text, names_open=False):
+    """[(kind, value)] by the rules, one token at a time; a sentence's first word may be a name in the second reading."""
     out, opens, was_number = [], True, False
     for raw in (text or "").split():
         parts = tp.PART.findall(raw)
@@ -24,7 +24,7 @@ def plain_tokens(text):
                 kind = tp.NUMBER
             elif low in tp.UNITS and was_number:
                 kind = tp.UNIT
-            elif p[0].isupper() and not p.isupper() and not opens:
+            elif p[0].isupper() and not p.isupper() and (names_open or not opens):
                 kind = tp.NAME
             else:
                 kind = tp.WORD
@@ -39,30 +39,46 @@ def plain_tokens(text):
     return out
 
 
-def plain_hits(text, items):
-    """{item: (coverage, changed slots)} by comparing all windows."""
+def exact_tokens(text):
+    return [p for raw in (text or "").split() for p in tp.EXACT.findall(raw.lower())]
+
+
+def indexed_places(own):
+    n = min(tp.WINDOW, len(own))
+    return [] if n < tp.LEAST_WORDS else [p for p in range(len(own) - n + 1) if sum(k == tp.WORD for k, _ in own[p:p + n]) >= tp.LEAST_WORDS]
+
+
+def covered_by(doc, own):
+    """(share of the item's windows, changed slots) in one reading, None where the text has too few of them."""
     show = lambda ts: tuple((k, v if k == tp.WORD else None) for k, v in ts)
-    doc, out = plain_tokens(text), {}
+    n, places, met = min(tp.WINDOW, len(own)), indexed_places(own), {}
+    for p in places:
+        for a in range(len(doc) - n + 1):
+            if show(doc[a:a + n]) == show(own[p:p + n]):
+                met.setdefault(a - p, []).append((p, a))
+    covered, changed = set(), 0
+    for hits in met.values():
+        pairs = {(own[p + j][1], doc[a + j][1]) for p, a in hits for j in range(n) if own[p + j][0] != tp.WORD}
+        values = {x for x, _ in pairs}
+        if sum(len([1 for x, _ in pairs if x == v]) == 1 for v in values) >= len(values) * tp.CONSISTENT:
+            covered |= {p for p, _ in hits}
+            changed = max(changed, sum(x != y for x, y in pairs))
+    return (len(covered) / len(places), changed) if places and len(covered) >= tp.COVERAGE * len(places) else None
+
+
+def plain_hits(text, items):
+    """{item: (coverage, changed slots)} by comparing all windows: first words as words, as names, then exact tokens of items without a window."""
+    readings, exact, out = [plain_tokens(text), plain_tokens(text, True)], exact_tokens(text), {}
     for i, t in items:
-        own = plain_tokens(t)
-        n = min(tp.WINDOW, len(own))
-        if n < tp.LEAST_WORDS:
-            continue
-        places = [p for p in range(len(own) - n + 1) if sum(k == tp.WORD for k, _ in own[p:p + n]) >= tp.LEAST_WORDS]
-        met = {}
-        for p in places:
-            for a in range(len(doc) - n + 1):
-                if show(doc[a:a + n]) == show(own[p:p + n]):
-                    met.setdefault(a - p, []).append((p, a))
-        covered, changed = set(), 0
-        for hits in met.values():
-            pairs = {(own[p + j][1], doc[a + j][1]) for p, a in hits for j in range(n) if own[p + j][0] != tp.WORD}
-            values = {x for x, _ in pairs}
-            if sum(len([1 for x, _ in pairs if x == v]) == 1 for v in values) >= len(values) * tp.CONSISTENT:
-                covered |= {p for p, _ in hits}
-                changed = max(changed, sum(x != y for x, y in pairs))
-        if places and len(covered) >= tp.COVERAGE * len(places):
-            out[i] = (len(covered) / len(places), changed)
+        own = [plain_tokens(t), plain_tokens(t, True)]
+        same = [k for k, _ in own[0]] == [k for k, _ in own[1]]
+        hit = covered_by(readings[0], own[0]) or (None if same else covered_by(readings[1], own[1]))
+        if not hit and not indexed_places(own[0]) and (signs := exact_tokens(t)):
+            vague = len(signs) < tp.LEAST_WORDS or not any(c.isalpha() for c in t)
+            whole = [exact[a:a + len(signs)] == signs for a in range(len(exact) - len(signs) + 1)]
+            hit = (1.0, 0) if any(whole) and (not vague or len(exact) == len(signs)) else None
+        if hit:
+            out[i] = hit
     return out
 
 
