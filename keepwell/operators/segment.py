@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keepwell import config as cfg
+from keepwell.operators import kmeans
 from keepwell.operators.encode import fit_scale
+from keepwell.sources.scratch import materialize
 
 _SCALED = "_scaled_"
 
@@ -115,15 +115,12 @@ class Segmentation:
         """Best of several k-means runs; clusters are numbered by sorted center."""
         prepared = segment_features(df).select(*cfg.SEGMENT_FEATURES)
         scaling = fit_scale(prepared, cfg.SEGMENT_FEATURES)
-        vectors = VectorAssembler(
-            inputCols=[_SCALED + c for c in cfg.SEGMENT_FEATURES], outputCol="features") \
-            .transform(with_scaled(prepared, scaling)).select("features").persist()
-        try:
-            models = [KMeans(k=k, seed=seed + i).fit(vectors) for i in range(starts)]
-        finally:
-            vectors.unpersist()
-        best = min(models, key=lambda m: m.summary.trainingCost)
-        centers = sorted([float(x) for x in c] for c in best.clusterCenters())
+        columns = [_SCALED + c for c in cfg.SEGMENT_FEATURES]
+        # Rows of equal features are told apart by their id where there is one.
+        told = [c for c in (*cfg.SEGMENT_FEATURES, cfg.ID) if c in df.columns or c in cfg.SEGMENT_FEATURES]
+        marked = with_scaled(segment_features(df), scaling).select(*columns, F.xxhash64(*told).alias(kmeans.MARK))
+        found = kmeans.fit(materialize(marked, "segment-rows"), columns, k, starts, seed)
+        centers = sorted(min(found, key=lambda f: f[0])[1])
         fitted = cls(scaling, centers)
         fitted.mapping = label_mapping(label_scores(cluster_profiles(fitted.clusters(df))), k)
         return fitted

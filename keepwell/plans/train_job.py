@@ -14,7 +14,7 @@ from keepwell.operators import evaluate, registry, score, train, validate
 from keepwell.operators.explain import (
     CONTRIBUTIONS, background_means, global_importance, linear_contributions, tree_contributions)
 from keepwell.operators.segment import Segmentation, mapping_table
-from keepwell.sources.runs import RunStore
+from keepwell.sources.runs import RunStore, utc_now
 from keepwell.sources.scratch import materialize
 from keepwell.sources.subscribers import path_exists, write_csv
 
@@ -80,33 +80,33 @@ def train_job(spark: SparkSession, raw: DataFrame, store: RunStore,
     `fail_on_critical` its critical issues end the run before anything is trained.
     """
     budget = budget or train.Budget()
-    run_id = train.utc_stamp()
-    threshold = promotion_threshold(store) if threshold is None else threshold
+    trained: list = []
 
-    def job(s: RunStore, run: str) -> None:
+    def job(s: RunStore, run: str) -> dict:
+        """Everything that follows from the store's state; done again where another commit came between, but for the training."""
+        bar = promotion_threshold(s) if threshold is None else threshold
         records = raw.drop(sequence) if sequence else raw
         issues = [r["issue"] for r in validate.critical_issues(records).collect()]
         validate.validation_report(records).write.parquet(s.path(run, "validation_report"))
         if fail_on_critical and issues:
             raise ValueError("Data validation failed: " + "; ".join(issues))
         shape = validate.table_shape(records).first()
-        data = train.prepare_training(raw, budget, fit_scope, sequence=sequence)
+        if not trained:
+            data = train.prepare_training(raw, budget, fit_scope, sequence=sequence)
+            tuned = train.tune(data.train, budget)
+            trained.extend([data, tuned, materialize(train.holdout_comparison(tuned, data.test), "comparison")])
+        data, tuned, comparison = trained
         features = data.prep.features
-        tuned = train.tune(data.train, budget)
-        comparison = materialize(train.holdout_comparison(tuned, data.test), "comparison")
         metrics = {r["model"]: {m: r[m] for m in comparison.columns if m != "model"}
                    for r in comparison.collect()}
 
         last = latest_decision(s)
-        decision = registry.decide(last["new_champion"] if last else None, metrics, threshold)
+        decision = registry.decide(last["new_champion"] if last else None, metrics, bar)
         champion = tuned[decision["champion"]]
-        spark.createDataFrame(
-            [(last["seq"] + 1 if last else 1, decision["action"],
-              decision["previous_champion"], decision["champion"], decision["challenger"],
-              decision["champion_metric"], decision["challenger_metric"], decision["delta"],
-              datetime.now(timezone.utc), run, threshold, metrics[decision["champion"]],
-              metrics[decision["challenger"]])],
-            HISTORY_SCHEMA).coalesce(1).write.parquet(s.path(run, "promotion_history"))
+        entry = {"seq": last["seq"] + 1 if last else 1, "action": decision["action"], "previous_champion": decision["previous_champion"],
+                 "new_champion": decision["champion"], "challenger": decision["challenger"], "champion_metric": decision["champion_metric"],
+                 "challenger_metric": decision["challenger_metric"], "delta": decision["delta"], "decided_at": utc_now(), "run_id": run,
+                 "threshold": bar, "new_champion_metrics": metrics[decision["champion"]], "challenger_metrics": metrics[decision["challenger"]]}
 
         for name, table in evaluation_tables(
                 champion.model, champion.name, data.test, features, repeats).items():
@@ -147,51 +147,25 @@ def train_job(spark: SparkSession, raw: DataFrame, store: RunStore,
               json.dumps(champion.params, sort_keys=True), features, shape["row_count"],
               shape["column_count"], issues)],
             METADATA_SCHEMA).coalesce(1).write.json(s.path(run, "model_metadata"))
+        return {"entries": [entry]}
 
-    store.run(run_id, job)
-    return run_id
-
-
-HISTORY_SCHEMA = """seq bigint, action string, previous_champion string, new_champion string,
-  challenger string, champion_metric double, challenger_metric double, delta double,
-  decided_at timestamp, run_id string, threshold double,
-  new_champion_metrics map<string,double>, challenger_metrics map<string,double>"""
-SETTINGS_SCHEMA = "name string, value double, set_at timestamp"
-#: Folders of history entries that belong to no run.
-EXTRA_ENTRIES = ("rollbacks", "imported")
+    return store.run(train.utc_stamp(), job)
 
 
 def promotion_history(store: RunStore) -> DataFrame:
-    """Decisions of all published runs, rollbacks and imported entries: every entry is one row.
-
-    One scan over the runs' history files, joined with the pointer table.
-    """
-    spark = store.spark
-    history = spark.createDataFrame([], HISTORY_SCHEMA)
-    if store.current() is not None:
-        of_runs = spark.read.schema(HISTORY_SCHEMA).parquet(f"{store.base}/runs/*/promotion_history")
-        history = history.unionByName(of_runs.join(store.published().select("run_id").distinct(),
-                                                   "run_id", "left_semi").select(history.columns))
-    for name in EXTRA_ENTRIES:
-        if path_exists(spark, f"{store.base}/{name}"):
-            history = history.unionByName(
-                spark.read.schema(HISTORY_SCHEMA).parquet(f"{store.base}/{name}"))
-    return history
+    """Decisions of all published runs, rollbacks and imported entries: every entry is one row."""
+    return store.commits().select(F.explode("entries").alias("entry")).select("entry.*")
 
 
 def set_promotion_threshold(store: RunStore, value: float) -> None:
     """Store the threshold that later runs decide by."""
-    store.spark.createDataFrame([("promotion_threshold", value, datetime.now(timezone.utc))], SETTINGS_SCHEMA) \
-        .coalesce(1).write.mode("append").parquet(f"{store.base}/settings")
+    store.log.append(lambda _: {"at": utc_now(), "threshold": float(value)})
 
 
 def promotion_threshold(store: RunStore) -> float:
     """The stored threshold, else the configured one."""
-    if not path_exists(store.spark, f"{store.base}/settings"):
-        return cfg.PROMOTION_THRESHOLD
-    row = store.spark.read.schema(SETTINGS_SCHEMA).parquet(f"{store.base}/settings") \
-        .where("name = 'promotion_threshold'").orderBy(F.desc("set_at")).limit(1).collect()
-    return row[0]["value"] if row else cfg.PROMOTION_THRESHOLD
+    row = store.commits().where("threshold IS NOT NULL").orderBy(F.desc("version")).limit(1).collect()
+    return row[0]["threshold"] if row else cfg.PROMOTION_THRESHOLD
 
 
 def registry_status(store: RunStore) -> DataFrame:
@@ -212,17 +186,19 @@ def registry_status(store: RunStore) -> DataFrame:
 
 def import_legacy_registry(store: RunStore, path: str) -> int:
     """Take the entries and the threshold of an old registry into an empty store; returns the number of entries."""
-    if latest_decision(store) is not None:
-        raise ValueError("the store has a history already")
     history, threshold = read_legacy_registry(store.spark, path)
-    rival = F.when(F.col("new_champion") != F.col("previous_champion"), F.col("previous_champion"))
-    entries = history.select("seq", "action", "previous_champion", "new_champion", rival.alias("challenger"), "champion_metric",
-                             "challenger_metric", "delta", "decided_at", F.lit(None).cast("string").alias("run_id"),
-                             F.lit(threshold).alias("threshold"),
-                             *[F.lit(None).cast("map<string,double>").alias(c) for c in ("new_champion_metrics", "challenger_metrics")])
-    entries.coalesce(1).write.mode("append").parquet(f"{store.base}/imported")
-    set_promotion_threshold(store, threshold)
-    return history.count()
+    # An old registry is one small file; its entries become one commit.
+    rows = history.withColumn("decided_at", F.date_format("decided_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")).orderBy("seq").collect()
+    entries = [{**r.asDict(), "challenger": r["previous_champion"] if r["new_champion"] != r["previous_champion"] else None,
+                "threshold": threshold} for r in rows]
+
+    def make(version: int) -> dict:
+        if latest_decision(store) is not None:
+            raise ValueError("the store has a history already")
+        return {"at": utc_now(), "entries": entries, "threshold": threshold}
+
+    store.log.append(make)
+    return len(entries)
 
 
 def latest_decision(store: RunStore):
@@ -231,21 +207,24 @@ def latest_decision(store: RunStore):
 
 
 def rollback(store: RunStore) -> dict:
-    """Swap champion and challenger without training; one more history row."""
-    last = latest_decision(store)
-    if last is None:
-        raise ValueError("Cannot rollback before champion and challenger are initialized")
-    metric = {r["model"]: r["value"] for r in store.read("training_runs").where(
-        F.col("metric") == cfg.PRIMARY_METRIC).collect()}
-    champion, challenger = last["challenger"], last["new_champion"]
-    entry = (last["seq"] + 1, "manual_rollback", last["new_champion"], champion, challenger,
-             metric[champion], metric[challenger], metric[challenger] - metric[champion],
-             datetime.now(timezone.utc), None, last["threshold"], last["challenger_metrics"],
-             last["new_champion_metrics"])
-    store.spark.createDataFrame([entry], HISTORY_SCHEMA).coalesce(1) \
-        .write.mode("append").parquet(f"{store.base}/rollbacks")
-    return {"action": "manual_rollback", "champion": champion, "challenger": challenger,
-            "delta": entry[7]}
+    """Swap champion and challenger without training; one more history row, made from the newest one."""
+    made: dict = {}
+
+    def make(version: int) -> dict:
+        last = latest_decision(store)
+        if last is None:
+            raise ValueError("Cannot rollback before champion and challenger are initialized")
+        metric = {r["model"]: r["value"] for r in store.read("training_runs").where(
+            F.col("metric") == cfg.PRIMARY_METRIC).collect()}
+        champion, challenger = last["challenger"], last["new_champion"]
+        made.update({"seq": last["seq"] + 1, "action": "manual_rollback", "previous_champion": challenger, "new_champion": champion,
+                     "challenger": challenger, "champion_metric": metric[champion], "challenger_metric": metric[challenger],
+                     "delta": metric[challenger] - metric[champion], "decided_at": utc_now(), "run_id": None, "threshold": last["threshold"],
+                     "new_champion_metrics": last["challenger_metrics"], "challenger_metrics": last["new_champion_metrics"]})
+        return {"at": utc_now(), "entries": [made]}
+
+    store.log.append(make)
+    return {"action": "manual_rollback", "champion": made["new_champion"], "challenger": made["challenger"], "delta": made["delta"]}
 
 
 def serving_model(store: RunStore) -> tuple[str, str]:
