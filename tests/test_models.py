@@ -96,8 +96,8 @@ def test_roles_and_history(spark):
     assert registry.recent_promotions(history, 2).count() == 2
 
 
-@pytest.mark.parametrize("block_rows,pivots,near", [(2048, 512, 128), (20, 6, 1), (7, 40, 12)])
-def test_neighbours_equal_brute_force(spark, monkeypatch, block_rows, pivots, near):
+@pytest.mark.parametrize("block_rows,leaf_rows,near", [(2048, 64, 128), (20, 25, 1), (7, 4, 12), (3, 1, 1)])
+def test_neighbours_equal_brute_force(spark, monkeypatch, block_rows, leaf_rows, near):
     monkeypatch.setattr(smote, "NEAR_ROWS", near)
     rng = np.random.default_rng(2)
     x = np.round(rng.normal(size=(240, 4)), 1)
@@ -106,8 +106,7 @@ def test_neighbours_equal_brute_force(spark, monkeypatch, block_rows, pivots, ne
     ids = [f"k{i:04d}" for i in rng.permutation(len(x))]
     df = spark.createDataFrame(
         pd.DataFrame({"customerID": ids, **{f"f{j}": x[:, j] for j in range(4)}}))
-    got = smote.nearest_neighbors(df, [f"f{j}" for j in range(4)], 5, block_rows=block_rows,
-                                  max_pivots=pivots, cell_rows=4)
+    got = smote.nearest_neighbors(df, [f"f{j}" for j in range(4)], 5, block_rows=block_rows, leaf_rows=leaf_rows)
     found = {r["key"]: [n["key"] for n in r["neighbors"]] for r in got.collect()}
     assert len(found) == len(x)
     for i, key in enumerate(ids):
