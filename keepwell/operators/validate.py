@@ -133,18 +133,22 @@ def dtype_issues(df: DataFrame) -> DataFrame:
         gone, "column_name string, invalid bigint, issue string"))
 
 
-def iqr_outliers(df: DataFrame) -> DataFrame:
+def iqr_outliers(df: DataFrame, bounds: dict[str, tuple[float | None, float | None]] | None = None) -> DataFrame:
     """Bounds q1 - 1.5 IQR and q3 + 1.5 IQR per column and the rows strictly outside.
 
+    With `bounds`, such as `profile_state.outlier_bounds` has from sketches, only the count is made.
+
     The quartiles are exact and come back as two numbers per column; the count
     is one aggregation over the table with the bounds as literals.  The parsed
     numbers are written once for these passes.
     """
     have = any_of(cfg.OUTLIER_COLUMNS, df.columns)
-    numbers = materialize(df.select(*[number(df, c).alias(c) for c in have]), "numbers")
-    quartiles = exact_quantiles(numbers, have, [0.25, 0.75])
-    bounds = {}
-    for c in have:
+    numbers = df.select(*[number(df, c).alias(c) for c in have])
+    if bounds is None:
+        numbers = materialize(numbers, "numbers")
+    quartiles = exact_quantiles(numbers, have, [0.25, 0.75]) if bounds is None else {}
+    bounds = {c: bounds.get(c, (None, None)) for c in have} if bounds is not None else {}
+    for c in quartiles:
         q1, q3 = quartiles[c]
         spread = None if q1 is None else cfg.IQR_MULTIPLIER * (q3 - q1)
         bounds[c] = (None, None) if q1 is None else (q1 - spread, q3 + spread)

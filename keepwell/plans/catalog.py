@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from keepwell import config as cfg
 from keepwell.functions.columns import micro, model_label, select_or_zero
 from keepwell.operators import (
-    clean, encode, evaluate, explain, features, newton, redact, registry, reports, sampling,
+    clean, encode, evaluate, explain, features, newton, profile_state, redact, registry, reports, sampling,
     score, segment, smote, train, validate,
 )
 from keepwell.operators.encode import Preprocessing
@@ -524,6 +524,38 @@ def validation_report(spark, sf_dir):
     return rounded(validate.validation_report(base.raw(spark, sf_dir)))
 
 
+@query
+def profile_state_invariants(spark, sf_dir):
+    """(check_name, n): the merged state of five loads against the whole table: rows, and violations (0)."""
+    raw = scratch.materialize(base.raw(spark, sf_dir), "profiled")
+    loads = [profile_state.profile_state(raw.where(F.pmod(F.xxhash64(cfg.ID), F.lit(5)) == i), f"load-{i}") for i in range(5)]
+    states = loads[0]
+    for more in (*loads[1:], loads[2]):  # the third load comes twice
+        states = states.unionByName(more)
+    merged = profile_state.describe_state(profile_state.merged_state(scratch.materialize(states, "states")))
+    whole = validate.profile_columns(raw).select(F.col("name").alias("column_name"), "null_count", "unique_count")
+    exact = validate.describe_numeric(raw).select("column_name", "n", F.col("mean").alias("true_mean"), F.col("std").alias("true_std"),
+                                                  F.col("min").alias("true_min"), F.col("max").alias("true_max"))
+    both = merged.join(whole, "column_name").join(exact, "column_name", "left")
+    off = lambda a, b: F.abs(F.col(a) - F.col(b)) > 1e-9 * (1 + F.abs(F.col(b)))
+    checks = {"nulls off": F.col("nulls") != F.col("null_count"),
+              "distinct counts off": F.abs(F.col("n_distinct") - F.col("unique_count")) > 4 * profile_state.DISTINCT_ERROR * F.col("unique_count") + 1,
+              "numbers off": F.col("numbers") != F.coalesce("n", F.lit(0)),
+              "moments off": off("mean", "true_mean") | off("std", "true_std"),
+              "extremes off": (F.col("min") != F.col("true_min")) | (F.col("max") != F.col("true_max"))}
+    one = both.agg(F.max("n_rows").alias("rows"), F.count(F.lit(1)).alias("columns"), *[F.count_if(c).alias(n) for n, c in checks.items()])
+    # Share of a column's numbers at or below each sketched quartile, and strictly below.
+    have = [c for c in cfg.NUMERIC_COLUMNS if c in raw.columns]
+    places = merged.where("numbers > 0").select("column_name", F.explode(F.array(*[
+        F.struct(F.lit(p).alias("p"), F.col(n).alias("at")) for p, n in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))])).alias("q"))
+    values = raw.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), validate.number(raw, c).alias("x")) for c in have])).alias("v")).select("v.*").where("x IS NOT NULL")
+    ranks = values.join(F.broadcast(places), "column_name").groupBy("column_name", "q").agg(
+        F.avg((F.col("x") <= F.col("q.at")).cast("double")).alias("upto"), F.avg((F.col("x") < F.col("q.at")).cast("double")).alias("below"))
+    bad = F.count_if((F.col("upto") < F.col("q.p") - profile_state.RANK_ERROR) | (F.col("below") > F.col("q.p") + profile_state.RANK_ERROR))
+    rows = one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("check_name"), F.col(n).alias("n")) for n in one.columns])).alias("c")).select("c.*")
+    return rows.unionByName(ranks.agg(F.lit("quartiles off").alias("check_name"), bad.alias("n")))
+
+
 @query
 def tuning_results(spark, sf_dir):
     budget = train.Budget()

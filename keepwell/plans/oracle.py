@@ -520,6 +520,9 @@ def oracle_sql() -> dict[str, str]:
                 *[(c, "0") for c in ("scores of logistic_regression not above chance", "scores of gbt not above chance", "better settings of logistic_regression than the chosen",
                                      "better settings of gbt than the chosen", "lines off the optimum", "trees off their number", "trees with too many leaves")]]
     sql["search_invariants"] = _with(SUBSCRIBERS, " UNION ALL ".join(f"SELECT '{c}' AS check_name, CAST({n} AS BIGINT) AS n" for c, n in searched))
+    profiled = [("rows", "(SELECT count(*) FROM raw)"), ("columns", "21"), *[(c, "0") for c in (
+        "nulls off", "distinct counts off", "numbers off", "moments off", "extremes off", "quartiles off")]]
+    sql["profile_state_invariants"] = _with(SUBSCRIBERS, " UNION ALL ".join(f"SELECT '{c}' AS check_name, CAST({n} AS BIGINT) AS n" for c, n in profiled))
     sql["kmeans_invariants"] = _with(SUBSCRIBERS, "SELECT count(*) AS n_rows, CAST(5 AS BIGINT) AS n_clusters, CAST(0 AS BIGINT) AS n_off FROM raw")
     sql["score_without_ids"] = _with(SUBSCRIBERS, "SELECT CAST(gender = 'Female' AS INT) AS anonymous, count(*) AS n, count(*) AS n_scored FROM raw GROUP BY 1")
     sql["stream_quarantine"] = _with(SUBSCRIBERS, f"SELECT * FROM (SELECT customerID, concat_ws('; ', {', '.join(_RULES)}) AS violations FROM raw) WHERE violations <> ''")
