@@ -14,6 +14,7 @@ from keepwell.operators import evaluate, registry, score, train, validate
 from keepwell.operators.explain import (
     CONTRIBUTIONS, background_means, global_importance, linear_contributions, tree_contributions)
 from keepwell.operators.segment import Segmentation, mapping_table
+from keepwell.sources.keyed import write_keyed
 from keepwell.sources.runs import RunStore, utc_now
 from keepwell.sources.scratch import materialize
 from keepwell.sources.subscribers import path_exists, write_csv
@@ -133,8 +134,7 @@ def train_job(spark: SparkSession, raw: DataFrame, store: RunStore,
         assigned = segments.assign(probable)
         write_csv(assigned.select(cfg.ID, "segment", "cluster_id", "churn_probability"),
                   s.path(run, "segment_assignments"))
-        assigned.drop("cluster_id").write.partitionBy("segment").parquet(
-            s.path(run, "processed_customers"))
+        write_keyed(assigned.drop("cluster_id"), s.path(run, "processed_customers"), cfg.ID, "segment")
         global_importance(contributions(champion.model, vectors, features, means)) \
             .write.parquet(s.path(run, "evaluation/shap_importance"))
 
