@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from keepwell import config as cfg
 from keepwell.config import Scorecard
 
+#: A probability this close to a class bound is at it: sums of a few products are off by less, in either direction.
+ROUNDING = 1e-12
+
 
 def margin(card: Scorecard) -> Column:
     """Linear margin of a scorecard over engineered columns."""
@@ -81,12 +84,17 @@ def shadow(name: str, p: Column) -> Column:
     """The challenger's answer next to the champion's; its class bound is inclusive."""
     return F.struct(
         F.lit(name).alias("model_name"), p.alias("churn_probability"),
-        (p >= 0.5).cast("int").alias("prediction")).alias("challenger_prediction")
+        challenger_class(p).alias("prediction")).alias("challenger_prediction")
 
 
 def champion_class(p: Column) -> Column:
     """Most likely class: the bound itself is class 0."""
-    return (p > 0.5).cast("int")
+    return (p > 0.5 + ROUNDING).cast("int")
+
+
+def challenger_class(p: Column) -> Column:
+    """Class next to the champion's: the bound itself is class 1."""
+    return (p >= 0.5 - ROUNDING).cast("int")
 
 
 def shadow_scores(engineered: DataFrame) -> DataFrame:
@@ -95,7 +103,7 @@ def shadow_scores(engineered: DataFrame) -> DataFrame:
     return both.select(
         cfg.ID, "churn_probability", champion_class(F.col("churn_probability")).alias("prediction"),
         "challenger_probability",
-        (F.col("challenger_probability") >= 0.5).cast("int").alias("challenger_prediction"))
+        challenger_class(F.col("challenger_probability")).alias("challenger_prediction"))
 
 
 def shadow_agreement(shadowed: DataFrame) -> DataFrame:
