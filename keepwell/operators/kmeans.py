@@ -25,15 +25,30 @@ MARK = "_mark"
 
 
 def _matrix(batch: pa.RecordBatch, columns: Sequence[str]) -> np.ndarray:
-    return np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in columns], axis=1).astype(float)
+    """(features, rows): every step over them runs along the rows."""
+    return np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in columns]).astype(float)
 
 
-def _square_distances(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
-    """(rows, centres), added feature by feature."""
-    out = np.zeros((len(x), len(centers)))
-    for j in range(x.shape[1]):
-        out += (x[:, j, None] - centers[None, :, j]) ** 2
-    return out
+def _nearest(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the nearest centre, squared distance to it) of each row, added feature by feature; ties go to the lower number."""
+    near, best = np.zeros(x.shape[1], np.int64), np.full(x.shape[1], np.inf)
+    for c, center in enumerate(centers):
+        far = np.zeros(x.shape[1])
+        for column, at in zip(x, center):
+            gap = column - at
+            far += gap * gap
+        np.copyto(near, c, where=far < best)
+        np.minimum(best, far, out=best)
+    return near, best
+
+
+def _first(time: np.ndarray, x: np.ndarray) -> int | None:
+    """The row of least time, of equal ones by their values; None where no time is finite."""
+    least = np.fmin.reduce(time)
+    if not np.isfinite(least):
+        return None
+    tied = np.flatnonzero(time == least)
+    return int(tied[np.lexsort(x[:, tied])[0]])
 
 
 def _uniform(marks: np.ndarray, start: int, step: int, seed: int) -> np.ndarray:
@@ -54,12 +69,12 @@ def _next_centers(rows: DataFrame, columns: Sequence[str], chosen: list[np.ndarr
                 continue
             x, marks = _matrix(batch, columns), batch.column(MARK).to_numpy()
             for s, centers in enumerate(chosen):
-                rate = _square_distances(x, centers).min(axis=1) if step else np.ones(len(x))
+                rate = _nearest(x, centers)[1] if step else np.ones(len(marks))
                 with np.errstate(divide="ignore"):
                     time = -np.log(_uniform(marks, s, step, seed)) / rate
-                first = int(np.lexsort((*x.T, time))[0])
-                if np.isfinite(time[first]):
-                    best[s] = min((float(time[first]), x[first].tolist()), best.get(s, (np.inf, [])))
+                first = _first(time, x)
+                if first is not None:
+                    best[s] = min((float(time[first]), x[:, first].tolist()), best.get(s, (np.inf, [])))
         yield pa.RecordBatch.from_pydict({"s": pa.array(list(best), pa.int32()), "time": pa.array([t for t, _ in best.values()], pa.float64()),
                                           "x": pa.array([v for _, v in best.values()], pa.list_(pa.float64()))})
 
@@ -78,9 +93,8 @@ def _totals(rows: DataFrame, columns: Sequence[str], centers: dict[int, np.ndarr
                 continue
             x = _matrix(batch, columns)
             for s, own in centers.items():
-                far = _square_distances(x, own)
-                near = far.argmin(axis=1)
-                sums = np.stack([np.bincount(near, w, len(own)) for w in (np.ones(len(x)), far.min(axis=1), *x.T)], axis=1)
+                near, far = _nearest(x, own)
+                sums = np.stack([np.bincount(near, w, len(own)) for w in (None, far, *x)], axis=1)
                 total[s] = total.get(s, 0.0) + sums
         for s, sums in total.items():
             k = len(sums)

@@ -46,3 +46,13 @@ def test_draws_follow_the_distance(spark):
     drawn = kmeans._next_centers(df, ["x0", "x1"], [np.array([[0.0, 0.0]])] * 2000, 1, 5)
     share = np.mean([d[0] == 3.0 for d in drawn])
     assert abs(share - 0.9) < 0.03 and not any(d[0] == 0.0 for d in drawn)
+
+
+def test_nearest_centres_and_least_times():
+    rng = np.random.default_rng(2)
+    x, centers = rng.integers(0, 4, (2, 500)).astype(float), rng.integers(0, 4, (6, 2)).astype(float)
+    far = ((x.T[:, None] - centers[None]) ** 2).sum(axis=2)
+    near, best = kmeans._nearest(x, centers)
+    assert np.array_equal(near, far.argmin(axis=1)) and np.array_equal(best, far.min(axis=1))
+    time = rng.integers(1, 4, 500).astype(float)
+    assert x[:, kmeans._first(time, x)].tolist() == x[:, np.lexsort((*x, time))[0]].tolist() and kmeans._first(np.full(500, np.inf), x) is None
