@@ -8,6 +8,9 @@ in the order of these probabilities, its own first, then perturbed ones, until t
 `FOUND` over all tables.  What the tables bring is merged, and nearness is measured on the
 original vectors.
 
+One table is worked on after the other: what one has written is removed before the next begins, so the disk
+holds the vectors, one table's cells and its visits, not four of each.  Vectors travel in the width they came in.
+
 The largest inner product is a nearest neighbour after one more coordinate: vectors, divided
 by the greatest norm of their length, are lifted onto the unit sphere; queries get zero there.
 
@@ -15,7 +18,8 @@ What the index knows of the data is bounded: number of vectors and greatest norm
 length, and `SAMPLE` vectors of least id hash, which tell how far neighbours are.  Every vector
 is indexed, whatever the sample.  Cells hold some `CELL` vectors, so their number follows the
 table's; members of a cell leave tasks as blocks of at most `BLOCK`, queries that visit it, too;
-pairs of blocks are dealt out, multiplied as matrices, and leave a task as one list of the nearest a query.
+blocks of one cell are multiplied as matrices where they meet, and leave a task as one list of the nearest a query.
+Only where a cell has more than `PAIRS` pairs of blocks, its pairs are copied and dealt out.
 Queries that found fewer than `k` (neighbours far out) visit again until `SURE`.
 
 Recall depends on how near neighbours are: the share of cells to visit is small where they are
@@ -30,6 +34,7 @@ id; an empty table, or one without queries, gives an empty table; other columns
 
 from __future__ import annotations
 
+import gc
 import heapq
 import math
 from collections.abc import Iterator
@@ -40,12 +45,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keepwell.llm.common import quoted, saved, text_batches, worker_state
+from keepwell.llm.common import discard, quoted, saved, text_batches, worker_state
 
 #: Hash tables, and the slot's width in standard deviations of a projection.
 TABLES, WIDTH = 4, 1.5
 #: Vectors of a cell, about; vectors or queries of a block, at most.
 CELL, BLOCK = 1024, 1024
+#: Pairs of blocks of a cell that a task compares at most where it meets them.
+PAIRS = 64
 #: Share of neighbours that the visits of all tables should find, and of those whose queries found too few.
 FOUND, SURE = 0.97, 0.999999
 #: Vectors that tell how far neighbours are, and how many of them are asked.
@@ -69,8 +76,8 @@ class Index:
         rng = np.random.default_rng([SEED, self.length, table])
         return rng.normal(size=(self.length + 1, self.functions)), rng.uniform(size=self.functions)
 
-    def places(self, x: np.ndarray, query: bool) -> list[np.ndarray]:
-        """(rows, functions) of each table: projections in slots, with fractions."""
+    def places(self, x: np.ndarray, query: bool, table: int) -> np.ndarray:
+        """(rows, functions) of a table: projections in slots, with fractions."""
         unit, norms = units(x)
         if query:
             lifted = np.c_[unit, np.zeros(len(x))]
@@ -78,7 +85,8 @@ class Index:
             share = np.minimum(norms / self.norm, 1.0)
             lifted = np.c_[unit * share[:, None], np.sqrt(1 - share * share)]
         # A unit vector's projection has deviation 1.
-        return [lifted @ a / WIDTH + b for a, b in map(self.directions, range(TABLES))]
+        a, b = self.directions(table)
+        return lifted @ a / WIDTH + b
 
 
 def units(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,8 +130,13 @@ def visited(place: np.ndarray, distance: float, wanted: float) -> Iterator[tuple
                 heapq.heappush(queue, (p / choices[j][at[j]][0] * choices[j][at[j] + 1][0], at[:j] + (at[j] + 1,) + at[j + 1:]))
 
 
-def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """(id, length, vec) of vectors that take part, as little-endian doubles."""
+def width_of(df: DataFrame, vector: str) -> str:
+    """Of a packed component: floats stay floats, which doubles hold exactly; all else is doubles."""
+    return "<f4" if dict(df.dtypes)[vector] == "array<float>" else "<f8"
+
+
+def usable(df: DataFrame, key: str, vector: str, kind: str) -> DataFrame:
+    """(id, length, vec) of vectors that take part, as little-endian numbers of a kind."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_state("neighbours")
@@ -131,41 +144,42 @@ def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
             lists = batch.column("v")
             offsets, values = lists.offsets.to_numpy(), lists.values
             null = values.is_null().to_numpy(zero_copy_only=False)
-            flat = np.ascontiguousarray(values.fill_null(np.nan).to_numpy(zero_copy_only=False), "<f8") if len(values) else np.zeros(0)
+            flat = np.ascontiguousarray(values.fill_null(np.nan).to_numpy(zero_copy_only=False), kind) if len(values) else np.zeros(0)
             rows, vecs, lengths = [], [], []
             for i, there in enumerate(lists.is_valid().to_pylist()):
                 a, b = offsets[i], offsets[i + 1]
                 own = flat[a:b]
                 if there and a < b and not null[a:b].any() and np.isfinite(own).all() and own.any():
                     rows.append(i)
-                    vecs.append((own + 0.0).tobytes())
+                    vecs.append((own + own.dtype.type(0)).tobytes())
                     lengths.append(b - a)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id").take(pa.array(rows, pa.int64())), pa.array(lengths, pa.int32()), pa.array(vecs, pa.binary())], ["id", "length", "vec"])
 
-    rows = df.select(F.col(quoted(key)).cast("long").alias("id"), F.col(quoted(vector)).cast("array<double>").alias("v"))
+    rows = df.select(F.col(quoted(key)).cast("long").alias("id"), F.col(quoted(vector)).cast("array<float>" if kind == "<f4" else "array<double>").alias("v"))
     return rows.where("id IS NOT NULL AND v IS NOT NULL").mapInArrow(run, "id long, length int, vec binary")
 
 
-def _stack(vecs: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(vecs), "<f8").reshape(len(vecs), -1)
+def _stack(vecs: list[bytes], kind: str) -> np.ndarray:
+    """Packed vectors as rows of doubles."""
+    return np.frombuffer(b"".join(vecs), kind).astype("<f8").reshape(len(vecs), -1)
 
 
-def _norms(rows: DataFrame) -> DataFrame:
+def _norms(rows: DataFrame, kind: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lengths, vecs, out = batch.column("length").to_numpy(), batch.column("vec").to_pylist(), np.zeros(batch.num_rows)
             for n in np.unique(lengths).tolist():
                 at = np.flatnonzero(lengths == n)
-                out[at] = units(_stack([vecs[i] for i in at]))[1]
+                out[at] = units(_stack([vecs[i] for i in at], kind))[1]
             yield pa.RecordBatch.from_arrays([batch.column("length"), pa.array(out)], ["length", "norm"])
 
     return rows.select("length", "vec").mapInArrow(run, "length int, norm double")
 
 
-def fitted(rows: DataFrame, k: int) -> dict[int, Index]:
+def fitted(rows: DataFrame, k: int, kind: str) -> dict[int, Index]:
     """An index for every vector length, of which a table has a handful."""
-    sizes = {r.length: (r.n, r.norm) for r in _norms(rows).groupBy("length").agg(
+    sizes = {r.length: (r.n, r.norm) for r in _norms(rows, kind).groupBy("length").agg(
         F.count(F.lit(1)).alias("n"), F.max("norm").alias("norm")).collect()}
     total = sum(n for n, _ in sizes.values())
     # Of the rows in hash order some SAMPLE, the whole table if it is as small as that.
@@ -175,7 +189,7 @@ def fitted(rows: DataFrame, k: int) -> dict[int, Index]:
     for length, (n, norm) in sizes.items():
         own = [r.vec for r in picked if r.length == length]
         functions = 0 if n <= LEAST else max(1, round(math.log2(n / CELL) / _bits()))
-        out[length] = Index(length, n, norm, functions, _distance(own, n, norm, k))
+        out[length] = Index(length, n, norm, functions, _distance(own, n, norm, k, kind))
     return out
 
 
@@ -185,11 +199,11 @@ def _bits() -> float:
     return -sum(p * math.log2(p) for p in (b - a for a, b in zip(edges, edges[1:])) if p > 0)
 
 
-def _distance(sample: list[bytes], vectors: int, norm: float, k: int) -> float:
+def _distance(sample: list[bytes], vectors: int, norm: float, k: int, kind: str) -> float:
     """Distance of the lifted vectors within which most queries have k neighbours, as the sample has it."""
     if len(sample) < 2:
         return math.sqrt(2)
-    x = _stack(sample)
+    x = _stack(sample, kind)
     unit, norms = units(x)
     asked = np.arange(min(ASKED, len(x)))
     near = (unit[asked] @ unit.T) * (norms / norm)
@@ -199,44 +213,42 @@ def _distance(sample: list[bytes], vectors: int, norm: float, k: int) -> float:
     return float(math.sqrt(max(1e-6, 2 - 2 * np.quantile(kth, 0.25))))
 
 
-def _rows_by_length(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _rows_by_length(batch: pa.RecordBatch, kind: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     lengths, vecs = batch.column("length").to_numpy(), batch.column("vec").to_pylist()
     for n in np.unique(lengths).tolist():
         at = np.flatnonzero(lengths == n)
         for first in range(0, len(at), 4096):
             part = at[first:first + 4096]
-            yield n, part, _stack([vecs[i] for i in part])
+            yield n, part, _stack([vecs[i] for i in part], kind)
 
 
-def members(rows: DataFrame, index: dict[int, Index]) -> DataFrame:
-    """(cell, id, vec) of each vector in every table."""
+def members(rows: DataFrame, index: dict[int, Index], table: int, kind: str) -> DataFrame:
+    """(cell, id, vec) of each vector in a table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for n, part, x in _rows_by_length(batch):
-                own = pa.array(part)
-                for t, place in enumerate(index[n].places(x, False)):
-                    yield pa.RecordBatch.from_arrays([pa.array(cell_keys(np.floor(place), t, n)), batch.column("id").take(own), batch.column("vec").take(own)],
-                                                     ["cell", "id", "vec"])
+            for n, part, x in _rows_by_length(batch, kind):
+                own, place = pa.array(part), index[n].places(x, False, table)
+                yield pa.RecordBatch.from_arrays([pa.array(cell_keys(np.floor(place), table, n)), batch.column("id").take(own), batch.column("vec").take(own)],
+                                                 ["cell", "id", "vec"])
 
     return rows.mapInArrow(run, "cell long, id long, vec binary")
 
 
-def visits(queries: DataFrame, index: dict[int, Index], wanted: float) -> DataFrame:
-    """(cell, id, vec) of each cell that a query visits."""
+def visits(queries: DataFrame, index: dict[int, Index], table: int, wanted: float, kind: str) -> DataFrame:
+    """(cell, id, vec) of each cell of a table that a query visits."""
     each = 1 - (1 - wanted) ** (1 / TABLES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for n, part, x in _rows_by_length(batch):
-                for t, place in enumerate(index[n].places(x, True)):
-                    cells = [list(visited(p, index[n].distance, each)) for p in place]
-                    which = np.repeat(part, [len(c) for c in cells])
-                    slots = np.array([c for own in cells for c in own], np.float64).reshape(len(which), index[n].functions)
-                    for first in range(0, len(which), 4096):
-                        own = pa.array(which[first:first + 4096])
-                        yield pa.RecordBatch.from_arrays([pa.array(cell_keys(slots[first:first + 4096], t, n)), batch.column("id").take(own), batch.column("vec").take(own)],
-                                                         ["cell", "id", "vec"])
+            for n, part, x in _rows_by_length(batch, kind):
+                cells = [list(visited(p, index[n].distance, each)) for p in index[n].places(x, True, table)]
+                which = np.repeat(part, [len(c) for c in cells])
+                slots = np.array([c for own in cells for c in own], np.float64).reshape(len(which), index[n].functions)
+                for first in range(0, len(which), 4096):
+                    own = pa.array(which[first:first + 4096])
+                    yield pa.RecordBatch.from_arrays([pa.array(cell_keys(slots[first:first + 4096], table, n)), batch.column("id").take(own), batch.column("vec").take(own)],
+                                                     ["cell", "id", "vec"])
 
     return queries.mapInArrow(run, "cell long, id long, vec binary")
 
@@ -278,9 +290,11 @@ def nearest(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
-def compared(pairs: DataFrame, k: int) -> DataFrame:
+def compared(pairs: DataFrame, k: int, kind: str) -> DataFrame:
     """(query_id, found) of blocks that meet: a list of the k nearest of a query for each task or so."""
 
+    size = np.dtype(kind).itemsize
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -296,10 +310,10 @@ def compared(pairs: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             for a, x, b, y in zip(*[batch.column(c).to_pylist() for c in ("ids", "vecs", "q_ids", "q_vecs")]):
                 own, asked = np.frombuffer(a, "<i8"), np.frombuffer(b, "<i8")
-                length = len(x) // 8 // len(own)
-                if len(y) // 8 // len(asked) != length:
+                length = len(x) // size // len(own)
+                if len(y) // size // len(asked) != length:
                     continue
-                x, y = np.frombuffer(x, "<f8").reshape(-1, length), np.frombuffer(y, "<f8").reshape(-1, length)
+                x, y = (np.frombuffer(v, kind).astype("<f8").reshape(-1, length) for v in (x, y))
                 with np.errstate(all="ignore"):
                     rough = y @ x.T
                     # Products of a matrix differ from row to row in their last bits: what may be among the k goes on.
@@ -339,23 +353,50 @@ def merged(found: DataFrame, k: int) -> DataFrame:
     return ranked.select("query_id", F.slice(F.when(several, once).otherwise(F.col("sorted")), 1, k).alias("best"))
 
 
+def release(df: DataFrame, *paths: str) -> None:
+    """Remove saved frames, and the shuffle files of frames that are gone: Spark removes those when the driver collects its garbage."""
+    for path in paths:
+        discard(df.sparkSession, path)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
+def found_in(rows: DataFrame, queries: DataFrame, index: dict[int, Index], table: int, wanted: float, k: int, kind: str) -> tuple[DataFrame, tuple[str, ...]]:
+    """(query_id, found) of one table, a list of the nearest of each query, and the paths of what was written for it."""
+    placed, seen = members(rows, index, table, kind), visits(queries, index, table, wanted, kind)
+    held, held_at = saved(blocks(placed, many_blocks(placed)), "ann-index")
+    asking, asking_at = saved(blocks(seen, many_blocks(seen)).select("cell", F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs")), "ann-visits")
+    sizes = [x.groupBy("cell").agg(F.count(F.lit(1)).alias(n)) for x, n in ((held, "n"), (asking, "m"))]
+    hot, hot_at = saved(sizes[0].join(sizes[1], "cell").where(F.col("n") * F.col("m") > PAIRS).select("cell"), "ann-hot")
+    met = held.join(asking.join(hot, "cell", "left_anti"), "cell")
+    found = compared(met, k, kind)
+    if not hot.isEmpty():
+        # Pairs of blocks are the unit of work; they are dealt out, however few cells have them.
+        dealt = held.join(hot, "cell").join(asking, "cell").repartition(F.xxhash64("ids", "q_ids"))
+        found = found.unionByName(compared(dealt, k, kind))
+    # The best of the table is all that goes on.
+    best = merged(found, k).select("query_id", F.transform("best", lambda x: F.struct((-x["down"]).alias("score"), x["id"].alias("id"))).alias("found"))
+    out, _ = saved(best, "ann-found-table")
+    return out, (held_at, asking_at, hot_at)
+
+
 def search(df: DataFrame, asked: Column, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows of largest inner product found for each row that fulfils `asked`, a condition on `id`."""
     # Blocks are long rows: few of them make a batch.
     text_batches(df.sparkSession)
-    rows, _ = saved(usable(df, key, vector), "ann-vectors")
-    index = fitted(rows, k)
+    kind = width_of(df, vector)
+    rows, _ = saved(usable(df, key, vector, kind), "ann-vectors")
+    index = fitted(rows, k, kind)
     if not index:
         return rows.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score"))
-    placed = members(rows, index)
-    held, _ = saved(blocks(placed, many_blocks(placed)), "ann-index")
 
     def found_by(queries: DataFrame, wanted: float) -> DataFrame:
-        seen = visits(queries, index, wanted)
-        asking = blocks(seen, many_blocks(seen)).select("cell", F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"))
-        # Pairs of blocks are the unit of work; they are dealt out, however few cells have them.
-        met = held.join(asking, "cell").repartition(F.xxhash64("ids", "q_ids"))
-        return saved(merged(compared(met, k), k), "ann-found")[0]
+        found = None
+        for table in range(TABLES):
+            own, paths = found_in(rows, queries, index, table, wanted, k, kind)
+            release(df, *paths)
+            found = own if found is None else found.unionByName(own)
+        return saved(merged(found, k), "ann-found")[0]
 
     queries = rows.where(asked)
     found = found_by(queries, FOUND)
